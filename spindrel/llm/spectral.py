@@ -91,25 +91,27 @@ def affinities(vectors: DataFrame, least: float = 0.85, k: int = 8, ways: int =
 def embed(edges: DataFrame, vectors: int = VECTORS, iterations: int = ITERATIONS, near: float = NEAR) -> DataFrame:
     """(id, x): coordinates of every vertex after power iteration on the normalised affinities of (a, b, w).
 
-    A vertex keeps half its value in a step, which makes the walk converge on any graph. Each step is one join and one
-    aggregation over the edges, combined before the shuffle; it ends early when no edge is longer than ``near``.
+    A vertex keeps half its value in a step (an edge to itself), which makes the walk converge on any graph. A step is
+    one join and one aggregation over the edges, combined before the shuffle, and names the state once, so that plans
+    grow by a step and no more. It ends early when no edge is longer than ``near``.
     """
     both = edges.select("a", "b", "w").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
     degree = both.groupBy("a").agg(F.sum("w").alias("d"))
-    walk = cut(both.join(degree, "a").select(F.col("a").alias("id"), F.col("b").alias("src"), (F.col("w") / F.col("d")).alias("p")), "walk")
-    start = [((F.xxhash64("id", F.lit(j)).bitwiseAND((1 << 52) - 1)) / F.lit(float(1 << 52))).alias(f"x{j}") for j in range(vectors)]
+    steps = both.join(degree, "a").select(F.col("a").alias("id"), F.col("b").alias("src"), (F.col("w") / F.col("d") / 2).alias("p"))
+    walk = cut(steps.unionByName(degree.select(F.col("a").alias("id"), F.col("a").alias("src"), F.lit(0.5).alias("p"))), "walk")
     names = [f"x{j}" for j in range(vectors)]
-    state = cut(walk.select("id").distinct().select("id", *start), "state")
+    start = [((F.xxhash64("src", F.lit(j)).bitwiseAND((1 << 52) - 1)) / F.lit(float(1 << 52))).alias(x) for j, x in enumerate(names)]
+    state = walk.where("id = src").select("src", *start)
     for step in range(1, iterations + 1):
-        moved = walk.join(state.withColumnRenamed("id", "src"), "src").groupBy("id").agg(*(F.sum(F.col("p") * F.col(x)).alias(f"{x}_") for x in names))
-        state = moved.join(state, "id").select("id", *((F.col(f"{x}_") + F.col(x)).alias(x) / F.lit(2.0) for x in names)).toDF("id", *names)
-        if step % 6 == 0:
+        state = walk.join(state, "src").groupBy("id").agg(*(F.sum(F.col("p") * F.col(x)).alias(x) for x in names)).withColumnRenamed("id", "src")
+        if step % 4 == 0:
             state = cut(state, "state")
-            ends = walk.join(state, "id").join(state.select(F.col("id").alias("src"), *(F.col(x).alias(f"{x}_") for x in names)), "src")
-            longest = ends.agg(F.max(F.greatest(*(F.abs(F.col(x) - F.col(f"{x}_")) for x in names)))).first()[0]
+        if step % 8 == 0:
+            ends = walk.join(state, "src").groupBy("id").agg(*(F.max(x).alias(f"{x}_") for x in names), *(F.min(x).alias(x) for x in names))
+            longest = ends.agg(F.max(F.greatest(*(F.col(f"{x}_") - F.col(x) for x in names)))).first()[0]
             if longest is None or longest < near:
                 break
-    return state.select("id", F.array(*names).alias("x"))
+    return state.select(F.col("src").alias("id"), F.array(*names).alias("x"))
 
 
 def k_means(points: DataFrame, near: float = NEAR) -> DataFrame:

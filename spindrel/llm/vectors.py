@@ -15,6 +15,9 @@ from pyspark.sql import types as T
 #: Sampled vectors at most that become directions of the routing; with 64 doubles each they take 8 MB in every task.
 DIRECTIONS = 16_384
 
+#: Bytes of a codebook at most that travel with the tasks.
+CODEBOOK = 64 << 20
+
 
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
@@ -57,18 +60,40 @@ def code_vectors(df: DataFrame, clusters: DataFrame, key: str = "id", codes: str
 
     ``clusters`` has (cluster_id, segment, centroid); a cluster's centroid is the same in all segments and null in some
     rows. Null codes and codes without a centroid take no part; a document left without any takes no part, nor does a
-    null id. An id counts once, by its latest delivery with codes. Codes are joined to centroids, so that the codebook
-    may be of any size; documents travel as their distinct codes with counts.
+    null id. An id counts once, by its latest delivery with codes. A codebook of up to CODEBOOK bytes travels with the
+    tasks, so that documents needn't be shuffled by code; a larger one is joined.
     """
     known = clusters.where("centroid is not null and cluster_id is not null").groupBy("cluster_id").agg(F.min_by("centroid", "segment").alias("c")).where(F.size("c") == dim)
     docs = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(at).alias("at"), F.filter(codes, lambda c: c.isNotNull()).alias("codes")).where("size(codes) > 0")
     docs = docs.groupBy("id").agg(F.max_by("codes", F.struct("at", "codes")).alias("codes"))
-    terms = docs.select("id", F.explode("codes").alias("cluster_id")).groupBy("id", "cluster_id").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    sums = terms.join(known, "cluster_id").select("id", "n", F.col("c").cast("array<double>").alias("c"))
-    # partial sums go on in the JVM, one column a dimension, so that nothing is gathered
-    wide = sums.groupBy("id").agg(*(F.sum(F.col("n") * F.col("c")[d]).alias(f"d{d}") for d in range(dim)))
-    norm = F.sqrt(sum((F.col(f"d{d}") * F.col(f"d{d}") for d in range(dim)), F.lit(0.0)))
-    return wide.withColumn("norm", norm).where("norm > 0").select("id", F.array(*(F.col(f"d{d}") / F.col("norm") for d in range(dim))).alias("vec"))
+    if known.count() * dim * 8 > CODEBOOK:
+        rows = docs.select("id", F.explode("codes").alias("cluster_id")).join(known, "cluster_id").select("id", F.posexplode(F.col("c").cast("array<double>")).alias("d", "x"))
+        sums = rows.groupBy("id", "d").agg(F.sum("x").alias("x"))
+        flat = sums.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("d", "x"))).alias("v")).select("id", F.transform("v", lambda e: e["x"]).alias("vec"))
+        norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
+        return flat.withColumn("n", norm).where("n > 0").select("id", F.transform("vec", lambda x: x / F.col("n")).alias("vec"))
+    book = known.toArrow()
+    place = {c: k for k, c in enumerate(book.column("cluster_id").to_pylist())}
+    matrix = np.array(book.column("c").to_pylist(), np.float64).reshape(len(place), dim)
+    shared = df.sparkSession.sparkContext.broadcast((place, matrix))
+    out = T.StructType([T.StructField("id", T.LongType()), T.StructField("vec", T.ArrayType(T.DoubleType(), False))])
+
+    def sums_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, matrix = shared.value
+        for batch in batches:
+            lists = batch.column(1)
+            n = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(n)), n)
+            at = np.array([place.get(c, -1) for c in lists.flatten().to_pylist()], np.int64)
+            vec = np.zeros((len(n), dim))
+            np.add.at(vec, row[at >= 0], matrix[at[at >= 0]])
+            norm = np.linalg.norm(vec, axis=1)
+            good = np.flatnonzero(norm > 0)
+            vec = vec[good] / norm[good, None]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, vec.size + 1, dim), pa.int32()), pa.array(vec.ravel()), type=pa.list_(pa.field("element", pa.float64(), False)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(good, pa.int64())), lists], names=["id", "vec"])
+
+    return docs.mapInArrow(sums_of, out)
 
 
 def directions(vectors: DataFrame, n: int, per: int = 64, most: int = DIRECTIONS) -> np.ndarray:
