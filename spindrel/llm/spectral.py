@@ -73,7 +73,7 @@ def _edges(least: float, k: int):
     return run
 
 
-def affinities(vectors: DataFrame, least: float = 0.85, k: int = 8, ways: int = 6) -> DataFrame:
+def affinities(vectors: DataFrame, least: float = 0.85, k: int = 8, ways: int = 6, block: int = 16_384) -> DataFrame:
     """(a, b, w), a < b: a sparse graph of similar documents with the connected components of the full one.
 
     Vectors are unit vectors (id, vec); those of equal coordinates must be one row. Each group of ``routed`` gives its
@@ -83,7 +83,7 @@ def affinities(vectors: DataFrame, least: float = 0.85, k: int = 8, ways: int =
     axes = directions(vectors, vectors.count())
     if not len(axes):
         return vectors.sparkSession.createDataFrame([], "a long, b long, w double")
-    groups = routed(vectors, axes, ways)
+    groups = routed(vectors, axes, ways, block)
     found = groups.groupBy("axis", "qb", "ob").applyInPandas(_edges(least, k), "a long, b long, w double")
     return found.groupBy("a", "b").agg(F.max("w").alias("w"))
 

@@ -25,7 +25,10 @@ from ..plans.lineage import cut
 from .graph import components
 
 #: Segments of so many bits each; the farthest complete distance; the bits nearest to the mean whose pairs are flipped too.
-SEGMENTS, BITS, FAR, WEAK = 16, 20, 100, 4
+SEGMENTS, BITS, FAR, WEAK = 18, 17, 95, 4
+
+#: Records that the mean is weighed against.
+FEW = 64
 
 #: Rows of a table key at most that meet the lookups of the key in one place; keys with more are split.
 HOT = 2_000
@@ -70,7 +73,7 @@ def _numbered(flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(classes: DataFrame) -> DataFrame:
-    """(rep, n, fp, keys, weak, nth): the fingerprints of (rep, words), words being sorted hashes, as longs of 60 bits each.
+    """(rep, n, fp, keys, weak, nth): the fingerprints of (rep, words), words being sorted hashes, as longs of three segments each.
 
     keys has the segments, each with its number in front; weak has the masks of the bits nearest to the mean, segment by segment; nth has a number for every word and how often
     the record had it before, so that shared numbers are shared words, repeats included.
@@ -88,7 +91,8 @@ def fingerprints(classes: DataFrame) -> DataFrame:
 
     summed = classes.select("words").mapInArrow(totals, "bit int, s double").groupBy("bit").agg(F.sum("s").alias("s")).collect()  # a row per bit
     at = {r["bit"]: r["s"] for r in summed}
-    mean = np.array([at.get(b, 0.0) for b in range(n)]) / max(1.0, at.get(n, 0.0))
+    # few records say little of the mean: it then counts for less
+    mean = np.array([at.get(b, 0.0) for b in range(n)]) / (at.get(n, 0.0) + FEW)
     long = T.ArrayType(T.LongType(), False)
     out = T.StructType([T.StructField("rep", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("fp", long), T.StructField("keys", long), T.StructField("weak", long), T.StructField("nth", long)])
 
