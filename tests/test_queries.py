@@ -1,0 +1,25 @@
+import importlib
+
+import pytest
+
+from spindrel.queries import oracle_sql, queries
+from spindrel.session import ship
+
+from .compare import same
+
+
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_against_sql(spark, sf, duck, name):
+    same(queries()[name](ship(spark), sf), duck, oracle_sql()[name])
+
+
+@pytest.mark.parametrize("name", sorted(set(queries()) - set(oracle_sql())))
+def test_runs(spark, sf, name):
+    assert queries()[name](ship(spark), sf).count() > 0
+
+
+def test_entry(spark):
+    entry = importlib.import_module("__spark_entry__")
+    rows = entry.entry(spark)
+    assert rows.columns == ["query_id", "rank", "doc_id", "score"] and rows.count() > 0
+    assert set(queries()) <= set(entry.queries())
