@@ -18,7 +18,7 @@ def nibbles_to_hex(codes: Column, even_high: bool = True) -> Column:
     full = F.when(F.size(codes) % 2 == 1, F.concat(codes.cast("array<int>"), F.array(F.lit(0)))).otherwise(codes.cast("array<int>"))
     if even_high:
         return F.array_join(F.transform(full, digit), "")
-    pairs = F.transform(F.sequence(F.lit(0), F.size(full) / 2 - 1), lambda i: F.concat(digit(full[(i * 2 + 1).cast("int")]), digit(full[(i * 2).cast("int")])))
+    pairs = F.transform(F.sequence(F.lit(0), (F.size(full) / 2).cast("int") - 1), lambda i: F.concat(digit(full[i * 2 + 1]), digit(full[i * 2])))
     return F.when(F.size(full) > 0, F.array_join(pairs, "")).otherwise(F.lit(""))
 
 
