@@ -3,9 +3,11 @@
 A fingerprint has a bit per random projection of the record's word counts: whether it
 lies above the mean of all records (so that words which all records share don't
 count). It is cut into segments, each with a table of its own. A record looks up the
-small Hamming ball round each of its segments; what it meets is verified by the
-complete Hamming distance, then by the words themselves. Records of equal words are
-one class, whose least id stands for it.
+small Hamming ball round each of its segments; what it meets is verified by a complete
+Hamming distance, then by the words themselves. That distance is of parity bits: each
+word flips one, so two records differ in no more bits than they differ in words, and
+nothing that shares enough words is lost by it. Records of equal words are one class,
+whose least id stands for it.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from pyspark.sql import types as T
 from ..plans.lineage import cut
 from .graph import components
 
-#: Segments of so many bits each; the farthest complete distance; the bits nearest to the mean whose pairs are flipped too.
-SEGMENTS, BITS, FAR, WEAK = 18, 17, 95, 4
+#: Segments of so many bits each; the bits of each nearest to the mean, whose pairs are flipped too; parity bits.
+SEGMENTS, BITS, WEAK, PARITY = 18, 17, 4, 384
 
 #: Records that the mean is weighed against.
 FEW = 64
@@ -73,9 +75,9 @@ def _numbered(flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(classes: DataFrame) -> DataFrame:
-    """(rep, n, fp, keys, weak, nth): the fingerprints of (rep, words), words being sorted hashes, as longs of three segments each.
+    """(rep, n, parity, keys, weak, nth): the fingerprints of (rep, words), words being sorted hashes.
 
-    keys has the segments, each with its number in front; weak has the masks of the bits nearest to the mean, segment by segment; nth has a number for every word and how often
+    keys has the segments, each with its number in front; parity the bits that words flip, as longs; weak has the masks of the bits nearest to the mean, segment by segment; nth has a number for every word and how often
     the record had it before, so that shared numbers are shared words, repeats included.
     """
     n = SEGMENTS * BITS
@@ -94,7 +96,7 @@ def fingerprints(classes: DataFrame) -> DataFrame:
     # few records say little of the mean: it then counts for less
     mean = np.array([at.get(b, 0.0) for b in range(n)]) / (at.get(n, 0.0) + FEW)
     long = T.ArrayType(T.LongType(), False)
-    out = T.StructType([T.StructField("rep", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("fp", long), T.StructField("keys", long), T.StructField("weak", long), T.StructField("nth", long)])
+    out = T.StructType([T.StructField("rep", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("parity", long), T.StructField("keys", long), T.StructField("weak", long), T.StructField("nth", long)])
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         power = np.int64(1) << np.arange(BITS, dtype=np.int64)
@@ -104,24 +106,27 @@ def fingerprints(classes: DataFrame) -> DataFrame:
                 side = (_projected(part.column(1), n) - mean).reshape(part.num_rows, SEGMENTS, BITS)
                 segments = ((side > 0) * power).sum(2)
                 nearest = np.argsort(np.abs(side), axis=2, kind="stable")[:, :, :WEAK]
-                packed = [sum(segments[:, s + k] << (BITS * k) for k in range(3) if s + k < SEGMENTS) for s in range(0, SEGMENTS, 3)]
                 keys = segments + (np.arange(SEGMENTS, dtype=np.int64) << BITS)
                 weak = power[nearest].reshape(part.num_rows, -1)  # the masks of WEAK bits a segment
-                element = pa.list_(pa.field("element", pa.int64(), False))
-                lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()), type=element) for x in (np.stack(packed, 1), keys, weak)]
                 n_words = pc.list_value_length(part.column(1))
-                ends = np.cumsum(n_words.to_numpy(zero_copy_only=False))
-                nth = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(_numbered(part.column(1).flatten().to_numpy(zero_copy_only=False), ends)), type=element)
-                yield pa.RecordBatch.from_arrays([part.column(0), n_words, *lists, nth], names=["rep", "n", "fp", "keys", "weak", "nth"])
+                lengths = n_words.to_numpy(zero_copy_only=False)
+                numbers = _numbered(part.column(1).flatten().to_numpy(zero_copy_only=False), np.cumsum(lengths))
+                flips = np.repeat(np.arange(part.num_rows), lengths) * PARITY + (numbers.view(np.uint64) >> np.uint64(11)).astype(np.int64) % PARITY
+                odd = (np.bincount(flips, minlength=part.num_rows * PARITY) & 1).astype(np.uint8).reshape(part.num_rows, PARITY)
+                parity = np.packbits(odd, axis=1).view(np.int64)
+                element = pa.list_(pa.field("element", pa.int64(), False))
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()), type=element) for x in (parity, keys, weak)]
+                nth = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(numbers), type=element)
+                yield pa.RecordBatch.from_arrays([part.column(0), n_words, *lists, nth], names=["rep", "n", "parity", "keys", "weak", "nth"])
 
     return classes.select("rep", "words").mapInArrow(prints, out)
 
 
-def hamming_pairs(prints: DataFrame, share: float = 0.75, far: int = FAR) -> DataFrame:
-    """(a, b), a < b: classes that meet in a table and lie within the complete distance; lengths must allow the share."""
-    longs = math.ceil(SEGMENTS / 3)
+def hamming_pairs(prints: DataFrame, share: float = 0.75) -> DataFrame:
+    """(a, b), a < b: classes that meet in a table, and whose lengths and complete distance allow them to share so many words."""
+    longs = PARITY // 64
     names = [f"f{j}" for j in range(longs)]
-    segments = prints.select("rep", "n", *(F.col("fp")[j].alias(x) for j, x in enumerate(names)), "weak", F.posexplode("keys").alias("s", "segment"))
+    segments = prints.select("rep", "n", *(F.col("parity")[j].alias(x) for j, x in enumerate(names)), "weak", F.posexplode("keys").alias("s", "segment"))
     table = segments.select("rep", "n", *names, F.col("segment").alias("key"))
     # the ball round a segment: itself, every bit flipped, and every two of its bits nearest to the mean
     near_mean = F.slice("weak", F.col("s") * WEAK + 1, F.lit(WEAK))
@@ -139,7 +144,8 @@ def hamming_pairs(prints: DataFrame, share: float = 0.75, far: int = FAR) -> Dat
         lookups = lookups.join(hot, "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
     t, p = table.alias("t"), lookups.alias("p")
     distance = sum((F.bit_count(F.col(f"t.f{j}").bitwiseXOR(F.col(f"p.f{j}"))) for j in range(longs)), F.lit(0))
-    near = (F.col("t.rep") != F.col("p.rep")) & (F.least("t.n", "p.n") >= F.lit(share) * F.greatest("t.n", "p.n")) & (distance <= far)
+    needed = F.lit(share) * F.greatest("t.n", "p.n")
+    near = (F.col("t.rep") != F.col("p.rep")) & (F.least("t.n", "p.n") >= needed) & (distance <= F.col("t.n") + F.col("p.n") - 2 * needed)
     met = p.join(t.hint("shuffle_hash"), (F.col("t.key") == F.col("p.key")) & (F.col("t.part") == F.col("p.part")) & near)
     return met.select(F.least("t.rep", "p.rep").alias("a"), F.greatest("t.rep", "p.rep").alias("b")).distinct()
 
