@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.spread import spread
 from .tokenizer import encoder, fast_encoder, vocabulary_path
 
 #: Entries of a taxonomy at most; a larger one is refused, as it travels with every task.
@@ -36,7 +37,7 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", vocabu
                 ids = pa.array([own.encode(x) for x in part.column(1).to_pylist()], pa.list_(pa.field("element", pa.int32(), False)))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], names=[key, "ids"])
 
-    return narrow.mapInArrow(encode, out)
+    return spread(narrow).mapInArrow(encode, out)
 
 
 def count_tokens(df: DataFrame, text: str = "text", into: str = "n_tokens", vocabulary: str | None = None, ids: str | None = None) -> DataFrame:
@@ -60,7 +61,7 @@ def count_tokens(df: DataFrame, text: str = "text", into: str = "n_tokens", voca
                     columns.append(pa.array(encoded, pa.list_(pa.field("element", pa.int32(), False))))
                 yield pa.RecordBatch.from_arrays(columns, names=out.names)
 
-    return narrow.mapInArrow(count, out)
+    return spread(narrow).mapInArrow(count, out)
 
 
 def regular_source(column: str) -> F.Column:

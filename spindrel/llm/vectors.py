@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.spread import spread
+
 #: Sampled vectors at most that become directions of the routing; with 64 doubles each they take 8 MB in every task.
 DIRECTIONS = 16_384
 
@@ -52,7 +54,7 @@ def mean_vectors(df: DataFrame, key: str = "id", values: str = "embeddings", tok
             lists = pa.ListArray.from_arrays(offsets, pa.array(vec.ravel()), type=pa.list_(pa.field("element", pa.float64(), False)))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept), lists], names=["id", "at", "vec"])
 
-    return narrow.mapInArrow(means, out).groupBy("id").agg(F.max_by("vec", F.struct("at", "vec")).alias("vec"))
+    return spread(narrow).mapInArrow(means, out).groupBy("id").agg(F.max_by("vec", F.struct("at", "vec")).alias("vec"))
 
 
 def code_vectors(df: DataFrame, clusters: DataFrame, key: str = "id", codes: str = "centroid_codes", at: str = "written_at", dim: int = 64) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.lineage import cut
+from ..plans.spread import spread
 from .graph import components
 
 #: Segments of so many bits each; the bits of each nearest to the mean, whose pairs are flipped too; parity bits.
@@ -163,7 +164,7 @@ class Versions:
         rows = df.select(F.col(key).cast("long").alias("id"), F.col(at).alias("at"), F.col(first).alias("x"), F.col(second).alias("y")).where("id is not null")
         # hashes of words instead of texts are shuffled; a delivery that can't take part has none
         hashes = F.when((F.length("x") > 0) & (F.length("y") > 0), F.array_sort(F.transform(words(F.col("x"), F.col("y")), lambda w: F.xxhash64(w))))
-        latest = rows.select("id", "at", hashes.alias("words")).groupBy("id").agg(F.max_by("words", F.struct("at", F.xxhash64("words"))).alias("words")).where("size(words) > 0")
+        latest = spread(rows.select("id", "at", hashes.alias("words"))).groupBy("id").agg(F.max_by("words", F.struct("at", F.xxhash64("words"))).alias("words")).where("size(words) > 0")
         latest = latest.withColumn("sig", F.struct(F.xxhash64("words").alias("h"), F.hash("words").alias("g"), F.size("words").alias("n")))
         self.records = cut(latest, "records")
         self.classes = cut(self.records.groupBy("sig").agg(F.min("id").alias("rep"), F.first("words").alias("words"), F.count(F.lit(1)).alias("copies")), "classes")
