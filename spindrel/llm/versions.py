@@ -55,13 +55,20 @@ def _signs(hashes: np.ndarray, n: int) -> np.ndarray:
     return bits.astype(np.int8) * 2 - 1
 
 
-def _projected(lists: pa.ListArray, n: int) -> np.ndarray:
-    """Unit vectors of the projections of each list of word hashes."""
-    lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+def _projected(lists: pa.ListArray, lengths: np.ndarray, n: int) -> np.ndarray:
+    """The sums of the random signs of each list's word hashes."""
     unique, at = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
-    signs = _signs(unique.view(np.uint64), n)
-    sums = np.add.reduceat(signs[at], np.cumsum(lengths) - lengths, axis=0, dtype=np.int32).astype(np.float64)
-    return sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
+    return np.add.reduceat(_signs(unique.view(np.uint64), n)[at], np.cumsum(lengths) - lengths, axis=0, dtype=np.int32)
+
+
+def _unit(sums: np.ndarray) -> np.ndarray:
+    x = sums.astype(np.float64)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+def _lists(values: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    """The rows of a matrix as lists."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, values.shape[1]), pa.int32()), pa.array(values.ravel(), kind), type=pa.list_(pa.field("element", kind, False)))
 
 
 def _numbered(flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -75,52 +82,64 @@ def _numbered(flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.where(place == 0, flat, (z ^ (z >> np.uint64(29))).view(np.int64))
 
 
-def fingerprints(classes: DataFrame) -> DataFrame:
-    """(rep, n, parity, keys, weak, nth): the fingerprints of (rep, words), words being sorted hashes.
+_LONGS = T.ArrayType(T.LongType(), False)
 
-    keys has the segments, each with its number in front; parity the bits that words flip, as longs; weak has the masks of the bits nearest to the mean, segment by segment; nth has a number for every word and how often
-    the record had it before, so that shared numbers are shared words, repeats included.
+
+def projections(classes: DataFrame) -> DataFrame:
+    """(rep, n, sums, parity, nth) of (rep, words), words being sorted hashes.
+
+    sums has the projections, parity the bits that words flip, as longs; nth a number for every word and how often the
+    record had it before, so that shared numbers are shared words, repeats included.
     """
-    n = SEGMENTS * BITS
+    bits = SEGMENTS * BITS
+    out = T.StructType([T.StructField("rep", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("sums", T.ArrayType(T.IntegerType(), False)), T.StructField("parity", _LONGS), T.StructField("nth", _LONGS)])
 
-    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, count = np.zeros(n), 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                sums += _projected(part.column(0), n).sum(0)
-                count += part.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n + 1), pa.int32()), pa.array([*sums, float(count)])], names=["bit", "s"])
+                n_words = pc.list_value_length(part.column(1))
+                lengths = n_words.to_numpy(zero_copy_only=False)
+                numbers = _numbered(part.column(1).flatten().to_numpy(zero_copy_only=False), np.cumsum(lengths))
+                flips = np.repeat(np.arange(part.num_rows), lengths) * PARITY + (numbers.view(np.uint64) >> np.uint64(11)).astype(np.int64) % PARITY
+                odd = (np.bincount(flips, minlength=part.num_rows * PARITY) & 1).astype(np.uint8).reshape(part.num_rows, PARITY)
+                nth = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(numbers), type=pa.list_(pa.field("element", pa.int64(), False)))
+                sums = _lists(_projected(part.column(1), lengths, bits), pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0), n_words, sums, _lists(np.packbits(odd, axis=1).view(np.int64), pa.int64()), nth], names=out.names)
+
+    return classes.select("rep", "words").mapInArrow(run, out)
 
-    summed = classes.select("words").mapInArrow(totals, "bit int, s double").groupBy("bit").agg(F.sum("s").alias("s")).collect()  # a row per bit
+
+def fingerprints(projected: DataFrame) -> DataFrame:
+    """(rep, n, parity, keys, weak) of ``projections``: keys has the segments of the bits above the mean of all records,
+    each with its number in front, weak the masks of the bits nearest to the mean, segment by segment."""
+    bits = SEGMENTS * BITS
+
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, count = np.zeros(bits), 0
+        for batch in batches:
+            if batch.num_rows:
+                sums += _unit(batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, bits)).sum(0)
+                count += batch.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(bits + 1), pa.int32()), pa.array([*sums, float(count)])], names=["bit", "s"])
+
+    summed = projected.select("sums").mapInArrow(totals, "bit int, s double").groupBy("bit").agg(F.sum("s").alias("s")).collect()  # a row per bit
     at = {r["bit"]: r["s"] for r in summed}
     # few records say little of the mean: it then counts for less
-    mean = np.array([at.get(b, 0.0) for b in range(n)]) / (at.get(n, 0.0) + FEW)
-    long = T.ArrayType(T.LongType(), False)
-    out = T.StructType([T.StructField("rep", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("parity", long), T.StructField("keys", long), T.StructField("weak", long), T.StructField("nth", long)])
+    mean = np.array([at.get(b, 0.0) for b in range(bits)]) / (at.get(bits, 0.0) + FEW)
+    out = T.StructType([T.StructField("rep", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("parity", _LONGS), T.StructField("keys", _LONGS), T.StructField("weak", _LONGS)])
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         power = np.int64(1) << np.arange(BITS, dtype=np.int64)
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                side = (_projected(part.column(1), n) - mean).reshape(part.num_rows, SEGMENTS, BITS)
-                segments = ((side > 0) * power).sum(2)
-                nearest = np.argsort(np.abs(side), axis=2, kind="stable")[:, :, :WEAK]
-                keys = segments + (np.arange(SEGMENTS, dtype=np.int64) << BITS)
-                weak = power[nearest].reshape(part.num_rows, -1)  # the masks of WEAK bits a segment
-                n_words = pc.list_value_length(part.column(1))
-                lengths = n_words.to_numpy(zero_copy_only=False)
-                numbers = _numbered(part.column(1).flatten().to_numpy(zero_copy_only=False), np.cumsum(lengths))
-                flips = np.repeat(np.arange(part.num_rows), lengths) * PARITY + (numbers.view(np.uint64) >> np.uint64(11)).astype(np.int64) % PARITY
-                odd = (np.bincount(flips, minlength=part.num_rows * PARITY) & 1).astype(np.uint8).reshape(part.num_rows, PARITY)
-                parity = np.packbits(odd, axis=1).view(np.int64)
-                element = pa.list_(pa.field("element", pa.int64(), False))
-                lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()), type=element) for x in (parity, keys, weak)]
-                nth = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(numbers), type=element)
-                yield pa.RecordBatch.from_arrays([part.column(0), n_words, *lists, nth], names=["rep", "n", "parity", "keys", "weak", "nth"])
+            for start in range(0, batch.num_rows, 2048):
+                part = batch.slice(start, 2048)
+                side = (_unit(part.column(3).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, bits)) - mean).reshape(part.num_rows, SEGMENTS, BITS)
+                keys = ((side > 0) * power).sum(2) + (np.arange(SEGMENTS, dtype=np.int64) << BITS)
+                nearest = np.argpartition(np.abs(side), WEAK, axis=2)[:, :, :WEAK]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], _lists(keys, pa.int64()), _lists(power[nearest].reshape(part.num_rows, -1), pa.int64())], names=out.names)
 
-    return classes.select("rep", "words").mapInArrow(prints, out)
+    return projected.select("rep", "n", "parity", "sums").mapInArrow(prints, out)
 
 
 def hamming_pairs(prints: DataFrame, share: float = 0.75) -> DataFrame:
@@ -172,9 +191,10 @@ class Versions:
 
     def links(self) -> DataFrame:
         """(a, b, shared), a < b: representatives of classes whose share of words is large enough."""
-        prints = cut(fingerprints(self.classes), "prints")
-        found = hamming_pairs(prints, self.share)
-        both = found.join(prints.select(F.col("rep").alias("a"), F.col("nth").alias("wa")), "a").join(prints.select(F.col("rep").alias("b"), F.col("nth").alias("wb")), "b")
+        projected = cut(projections(self.classes), "projections")
+        found = hamming_pairs(cut(fingerprints(projected), "prints"), self.share)
+        words = lambda c: projected.select(F.col("rep").alias(c), F.col("nth").alias(f"w{c}"))
+        both = found.join(words("a"), "a").join(words("b"), "b")
         shared = both.select("a", "b", (F.size(F.array_intersect("wa", "wb")) / F.greatest(F.size("wa"), F.size("wb"))).alias("shared"))
         return shared.where(F.col("shared") >= self.share)
 
