@@ -49,6 +49,11 @@ def unpack_fields(packed: np.ndarray, bits: int, n: int) -> np.ndarray:
     return (spread.astype(np.int64) << np.arange(bits)).sum(-1)
 
 
+def byte_table(bits: int) -> np.ndarray:
+    """The numbers that each of the 256 bytes holds, as a table of 256 rows of 8 // bits."""
+    return unpack_fields(np.arange(256, dtype=np.uint8)[:, None], bits, 8 // bits)
+
+
 def fields_to_hex(codes: Column, bits: int) -> Column:
     """The same layout as an expression: hex text of the bytes, an incomplete one filled with zero bits."""
     text = F.array_join(F.transform(codes.cast("array<int>"), lambda x: F.reverse(F.lpad(F.conv(x.cast("string"), 10, 2), bits, "0"))), "")

@@ -6,7 +6,10 @@ queries(query_id, qpos, vec): one row per query token.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterable
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import is_valid_embedding, token_of
@@ -39,6 +42,25 @@ def from_flat_buffer(values: DataFrame, info: DataFrame, dim: int) -> DataFrame:
     return docs.where(F.size("t") == F.col("num_tokens") * dim).select("doc_id", F.transform("t", lambda e: e["x"]).alias("flat"))
 
 
+def from_arrays(spark: SparkSession, documents: Iterable, first: int = 0) -> DataFrame:
+    """(doc_id, flat) of arrays in memory: a list of (tokens, dim) arrays, with or without a leading dimension of 1, or one 3-D array."""
+    rows = []
+    for i, x in enumerate(documents):
+        x = np.asarray(x, np.float32)
+        rows.append((first + i, (x[0] if x.ndim == 3 and len(x) == 1 else x).ravel().tolist()))
+    return spark.createDataFrame(rows, "doc_id long, flat array<float>")
+
+
+def queries_from_arrays(spark: SparkSession, queries: Iterable) -> DataFrame:
+    """(query_id, qpos, vec) of arrays in memory, as ``from_arrays`` takes them. Rows of zeros are padding and left out."""
+    rows = []
+    for q, x in enumerate(queries):
+        x = np.asarray(x, np.float32)
+        x = x[0] if x.ndim == 3 and len(x) == 1 else x
+        rows += [(q, p, v.tolist()) for p, v in enumerate(x) if v.any()]
+    return spark.createDataFrame(rows, "query_id long, qpos long, vec array<float>")
+
+
 def inferred_dim(total_values: int, total_tokens: int) -> int:
     """The dimension of a flat buffer: values per token, a remainder is left out."""
     return total_values // total_tokens if total_tokens else 0

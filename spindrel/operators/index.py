@@ -72,8 +72,8 @@ class VectorIndex:
 
     # building
 
-    def create(self, docs: DataFrame, rounds: int = 4, bits: int = 4, centroids: int | None = None, codec: str = "centred", metadata: Sequence[dict] | DataFrame | None = None) -> VectorIndex:
-        """Train on ``docs`` and write a new version of the whole index, metadata included."""
+    def create(self, docs: DataFrame, rounds: int = 4, bits: int = 4, centroids: int | None = None, codec: str = "centred", metadata: Sequence[dict] | DataFrame | None = None, per: int = 256, samples: int | None = None) -> VectorIndex:
+        """Train on ``docs`` (on the first ``samples`` of them, if given) and write a new version of the whole index, metadata included."""
         docs = cut(numbered(docs), "docs")
         n = docs.count()
         if not n:
@@ -88,7 +88,8 @@ class VectorIndex:
         tokens = cut(unpacked(docs.select(F.col("doc_idx").alias("doc_id"), "flat"), dim).select((F.col("doc_id") * (1 << 20) + F.col("pos")).alias("t"), "vec"), "tokens")
         total = tokens.count()
         want = centroids or (min(partition_count(n, total / n), total) if codec == "plain" else default_centroids(total))
-        book = cut(train(tokens, max(1, want), rounds, normalise=codec == "plain"), "book")
+        learnt = tokens if samples is None or samples >= n else cut(tokens.where(F.shiftright("t", 20) < samples), "sample")
+        book = cut(train(learnt, max(1, want), rounds, normalise=codec == "plain", per=per), "book")
         if codec == "plain":
             held = max(1, holdout_size(total))
             trained = train_plain(tokens.orderBy(F.xxhash64("t")).limit(held), book, bits)

@@ -155,11 +155,11 @@ def codebook_frame(spark, codebook: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     return spark.createDataFrame(pa.table({"cid": pa.array(ids, pa.int64()), "vec": pa.array(list(matrix), pa.list_(pa.float64()))}))
 
 
-def train(tokens: DataFrame, centroids: int, rounds: int = 5, key: str = "t", empty: str = "keep", normalise: bool = False) -> DataFrame:
-    """(cid, vec): a codebook after so many rounds from evenly spaced tokens of the training sample."""
+def train(tokens: DataFrame, centroids: int, rounds: int = 5, key: str = "t", empty: str = "keep", normalise: bool = False, per: int = 256) -> DataFrame:
+    """(cid, vec): a codebook after so many rounds from evenly spaced tokens of the training sample, ``per`` tokens a centroid at most."""
     n = tokens.count()
-    sample = training_sample(tokens, centroids, key=key, n=n)
-    codebook = collect_matrix(evenly_spaced(sample, centroids, n=min(n, 256 * centroids)), "cid")
+    sample = training_sample(tokens, centroids, per, key, n)
+    codebook = collect_matrix(evenly_spaced(sample, centroids, n=min(n, per * centroids)), "cid")
     for _ in range(rounds):
         codebook = lloyd_step(sample, codebook, empty)
     if normalise:

@@ -46,6 +46,15 @@ def read_archive_feed(spark: SparkSession, path: str, category: str | None = Non
     return out.withColumn("text", composed("title", "abstract", sep=" "))
 
 
+def read_archive_feeds(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """The records of several categories' pages, one after the other; a category goes before its ids."""
+    out = None
+    for category, path in paths.items():
+        part = read_archive_feed(spark, path, category)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def read_beir(spark: SparkSession, folder: str, split: str = "test") -> tuple[DataFrame, DataFrame, DataFrame]:
     """documents(id, text), queries(query_id, query), qrels(query, doc_id, rel): judgements are keyed by the query's text."""
     corpus = spark.read.schema("_id string, title string, text string").json(f"{folder}/corpus.jsonl")
