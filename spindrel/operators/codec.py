@@ -64,10 +64,14 @@ class Codec:
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12) if normalise else x
 
 
+def _residual_rows(tokens: DataFrame, centroids: DataFrame) -> DataFrame:
+    book = centroids.select("cid", F.col("vec").cast("array<double>").alias("c"))
+    return tokens.join(F.broadcast(book), "cid").select("t", F.posexplode(F.zip_with(F.col("vec").cast("array<double>"), "c", lambda x, c: x - c)).alias("d", "r"))
+
+
 def residuals(tokens: DataFrame, centroids: DataFrame, average: np.ndarray | None = None) -> DataFrame:
     """(t, d, r): the residuals of tokens (t, cid, vec) by dimension, centred by ``average`` if given, rounded to 9 decimals."""
-    book = centroids.select("cid", F.col("vec").cast("array<double>").alias("c"))
-    rows = tokens.join(F.broadcast(book), "cid").select("t", F.posexplode(F.zip_with(F.col("vec").cast("array<double>"), "c", lambda x, c: x - c)).alias("d", "r"))
+    rows = _residual_rows(tokens, centroids)
     if average is None:
         return rows.select("t", "d", F.round("r", 9).alias("r"))
     mean = F.array(*(F.lit(float(a)) for a in average))
@@ -77,7 +81,7 @@ def residuals(tokens: DataFrame, centroids: DataFrame, average: np.ndarray | Non
 def average_residual(tokens: DataFrame, centroids: DataFrame, absolute: bool = False) -> DataFrame:
     """(d, avg): the mean residual by dimension, signed or absolute, rounded to 9 decimals."""
     value = F.abs("r") if absolute else F.col("r")
-    return residuals(tokens, centroids).groupBy("d").agg(F.round(F.avg(value), 9).alias("avg"))
+    return _residual_rows(tokens, centroids).groupBy("d").agg(F.round(F.avg(value), 9).alias("avg"))
 
 
 def bucket_weights(centred: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -174,19 +178,21 @@ def decode(encoded: DataFrame, codec: Codec, normalise: bool = True) -> DataFram
         codec = shared.value
         dim = codec.centroids.shape[1]
         width = codec.pack(np.zeros((1, dim), np.int64)).shape[1]
-        place = {int(c): k for k, c in enumerate(codec.ids)}
+        order = np.argsort(codec.ids)
         for batch in batches:
-            out = []
-            for codes, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                rows = None if codes is None or blob is None or len(blob) != len(codes) * width else [place.get(c) for c in codes]
-                if rows is None or None in rows:
-                    out.append(None)
-                elif not rows:
-                    out.append([])
-                else:
-                    levels = codec.unpack(np.frombuffer(blob, np.uint8).reshape(len(rows), width))
-                    out.append(codec.decode(np.array(rows), levels, normalise).ravel())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], names=["doc_id", "flat"])
+            codes, blobs = batch.column(1), batch.column(2)
+            n = pc.fill_null(pc.list_value_length(codes), -1).to_numpy(zero_copy_only=False)
+            size = pc.fill_null(pc.binary_length(blobs), -1).to_numpy(zero_copy_only=False)
+            flat = pc.fill_null(pc.cast(codes.flatten(), pa.int64()), -1).to_numpy(zero_copy_only=False)
+            at = order[np.minimum(np.searchsorted(codec.ids, flat, sorter=order), len(order) - 1)]
+            doc = np.repeat(np.arange(len(n)), np.maximum(n, 0))
+            unknown = np.bincount(doc, codec.ids[at] != flat, minlength=len(n)) > 0
+            good = (n >= 0) & (size == n * width) & ~unknown
+            raw = b"".join(x for x, ok in zip(blobs.to_pylist(), good) if ok)
+            x = codec.decode(at[good[doc]], codec.unpack(np.frombuffer(raw, np.uint8).reshape(-1, width)), normalise) if raw else np.zeros((0, dim))
+            ends = np.concatenate([[0], np.cumsum(np.where(good, n, 0) * dim)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x.ravel()), mask=pa.array(~good))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["doc_id", "flat"])
 
     return encoded.select(F.col("doc_id").cast("long"), "codes", "residuals").mapInArrow(run, "doc_id long, flat array<double>")
 

@@ -25,6 +25,9 @@ from .search import SearchParameters, search_quantised, search_staged
 #: Documents of a chunk, and the share of pending documents (in percent) at which deltas are compacted.
 CHUNK, COMPACT_AT = 25_000, 10
 
+#: Tokens at most (those of smallest hash) whose residuals train the centred codec; each gives a row per dimension.
+CODEC_TOKENS = 1 << 20
+
 
 def chunk_count(documents: int) -> int:
     size = min(CHUNK, documents + 1)
@@ -94,7 +97,7 @@ class VectorIndex:
             held = max(1, holdout_size(total))
             trained = train_plain(tokens.orderBy(F.xxhash64("t")).limit(held), book, bits)
         else:
-            trained = train_centred(tokens, book)
+            trained = train_centred(tokens if total <= CODEC_TOKENS else cut(tokens.orderBy(F.xxhash64("t"), "t").limit(CODEC_TOKENS), "sample"), book)
         self._write(docs, trained, metadata, dim)
         return self
 

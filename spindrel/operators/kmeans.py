@@ -14,9 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
 from ..plans.ranks import ranked
 from .maxsim import collect_matrix
 
+#: Tokens at most that the generator's shuffle draws.
+SHUFFLED = 1 << 20
+
 #: Rows whose distances are computed at a time.
 ROWS = 2048
 
@@ -54,10 +58,16 @@ def lcg_order(n: int, k: int, state: int = 123456789) -> np.ndarray:
 
 
 def training_sample(tokens: DataFrame, centroids: int, per: int = 256, key: str = "t", n: int | None = None) -> DataFrame:
-    """(t, vec) in training order: all tokens, or ``per`` of them per centroid where there are more."""
+    """(t, vec) in training order: all tokens, or ``per`` of them per centroid where there are more.
+
+    Samples of up to SHUFFLED tokens are drawn by the generator's shuffle, larger ones by a hash, which needs no order.
+    """
     n = n if n is not None else tokens.count()
     if n <= per * centroids:
         return tokens.select(F.col(key).alias("t"), "vec")
+    if per * centroids > SHUFFLED:
+        share = per * centroids / n
+        return tokens.where(F.pmod(F.xxhash64(key), F.lit(1 << 31)) < int(share * (1 << 31))).select(F.col(key).alias("t"), "vec")
     chosen = lcg_order(n, per * centroids)
     order = tokens.sparkSession.createDataFrame([(int(x), i) for i, x in enumerate(chosen)], "place long, t long")
     place = ranked(tokens.select(F.col(key).alias("key"), "vec"), ["key"], into="place")
@@ -159,7 +169,8 @@ def train(tokens: DataFrame, centroids: int, rounds: int = 5, key: str = "t", em
     """(cid, vec): a codebook after so many rounds from evenly spaced tokens of the training sample, ``per`` tokens a centroid at most."""
     n = tokens.count()
     sample = training_sample(tokens, centroids, per, key, n)
-    codebook = collect_matrix(evenly_spaced(sample, centroids, n=min(n, per * centroids)), "cid")
+    sample = cut(sample, "sample")
+    codebook = collect_matrix(evenly_spaced(sample, centroids), "cid")
     for _ in range(rounds):
         codebook = lloyd_step(sample, codebook, empty)
     if normalise:

@@ -14,8 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bytes of query vectors that travel with a task.
-QUERY_BYTES = 64 << 20
+#: Bytes of query vectors that travel with a task, and of a stated query set in all.
+QUERY_BYTES, QUERY_TOTAL = 64 << 20, 1 << 30
 
 #: Cells (document tokens x query tokens) that are multiplied at a time.
 CELLS = 1 << 23
@@ -38,6 +38,8 @@ def query_blocks(queries: DataFrame) -> list[QueryBlock]:
         if size and size + x.nbytes > QUERY_BYTES:
             blocks.append(QueryBlock(ids, lengths, np.concatenate(parts)))
             ids, lengths, parts, size = [], [], [], 0
+        if len(blocks) * QUERY_BYTES > QUERY_TOTAL:
+            raise ValueError(f"a query set has {QUERY_TOTAL >> 20} MB of vectors at most; search in parts")
         ids.append(row["query_id"])
         lengths.append(len(x))
         parts.append(x)

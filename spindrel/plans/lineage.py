@@ -32,12 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     """Write ``df`` to the shared folder and return the written table."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/spindrel/{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    if spark.sparkContext.applicationId not in _written:
-        _written[spark.sparkContext.applicationId] = []
-        atexit.register(_clean, spark)
-    _written[spark.sparkContext.applicationId].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -50,6 +46,20 @@ def release(spark: SparkSession) -> None:
         place.getFileSystem(conf).delete(place, True)
 
 
+def scratch(spark: SparkSession, label: str = "scratch") -> str:
+    """A folder of its own below the shared one, deleted with the tables."""
+    path = f"{shared_dir(spark)}/spindrel/{label}-{uuid.uuid4().hex}"
+    _note(spark, path)
+    return path
+
+
+def _note(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext.applicationId not in _written:
+        _written[spark.sparkContext.applicationId] = []
+        atexit.register(_clean, spark)
+    _written[spark.sparkContext.applicationId].append(path)
+
+
 def _clean(spark: SparkSession) -> None:
     try:
         release(spark)

@@ -7,11 +7,8 @@ among them the documents whose id is divisible by 100.
 
 from __future__ import annotations
 
-import shutil
-import tempfile
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +16,7 @@ from .functions import bits, text, vectors
 from .operators import codec as codecs
 from .operators import corpus, evaluation, ivf, kmeans, maxsim, metadata, search, statistics
 from .operators.index import VectorIndex, chunk_count
-from .plans.lineage import cut
+from .plans.lineage import cut, scratch
 from .plans.ranks import ranked, renumbered, running_total
 from .sources import binary, records
 from .streaming.incremental import add_stream
@@ -625,14 +622,11 @@ def index_delete_renumber(spark, folder):
 @query(f"""WITH {_TOK}, d AS (SELECT doc_id, count(*) AS n, bool_or(pos = 0 AND label >= 8) AS late FROM tok GROUP BY doc_id), b AS (SELECT count(*) AS n FROM d WHERE NOT late)
 SELECT CASE WHEN late THEN (SELECT n FROM b) ELSE 0 END + row_number() OVER (PARTITION BY late ORDER BY doc_id) - 1 AS doc_idx, doc_id, n::INTEGER AS n_tokens FROM d""")
 def index_update_append(spark, folder):
-    folder_ = tempfile.mkdtemp(prefix="spindrel-index-")
     docs = _docs(spark, folder)
     late = _tokens(spark, folder).where("pos = 0 and label >= 8").select("doc_id")
-    index = VectorIndex(spark, f"file://{folder_}/index", DIM).create(docs.join(late, "doc_id", "left_anti"), rounds=1, centroids=CENTROIDS)
+    index = VectorIndex(spark, scratch(spark), DIM).create(docs.join(late, "doc_id", "left_anti"), rounds=1, centroids=CENTROIDS)
     index.update(docs.join(late, "doc_id", "left_semi"))
-    out = cut(index.store.table("docs").select("doc_idx", "doc_id", "n_tokens"), "appended")
-    shutil.rmtree(folder_)
-    return out
+    return index.store.table("docs").select("doc_idx", "doc_id", "n_tokens")
 
 
 @query("""WITH d AS (SELECT id, any_value(num_tokens) AS n FROM document_embeddings GROUP BY id)
@@ -749,59 +743,28 @@ def result_json(spark, folder):
 @query(f"WITH {_RAG} SELECT doc_id, (len(flat) // 64)::INTEGER AS n_tokens, round(list_sum(flat), 4) AS total FROM rag WHERE len(flat) > 0 AND doc_id IN (SELECT doc_id FROM fine)")
 def binary_embeddings_roundtrip(spark, folder):
     docs = corpus.checked(_ragged(spark, folder), DIM).where("valid and size(flat) > 0")
-    place = tempfile.mkdtemp(prefix="spindrel-binary-")
-    # a file per slice of documents, read again by the decoder; file names carry the first place
-    ordered = cut(ranked(docs.select("doc_id", "flat"), ["doc_id"]), "ordered")
-    for part, rows in _slices(ordered, 512):
-        with open(f"{place}/{part:09d}.bin", "wb") as out:
-            out.write(binary.write_embeddings([np.array(r["flat"], np.float32).reshape(-1, DIM) for r in rows]))
-    found = binary.read_embeddings(spark, f"file://{place}/*.bin")
-    at = F.regexp_extract("path", r"(\d{9})\.bin$", 1).cast("long") * 512 + F.col("ord")
-    out = cut(found.withColumn("rank0", at).join(ordered.select("rank0", "doc_id"), "rank0").select("doc_id", "n_tokens", F.round(vectors.total(vectors.doubles("flat")), 4).alias("total")), "roundtrip")
-    shutil.rmtree(place)
-    return out
-
-
-def _slices(ordered: DataFrame, size: int):
-    """Rows in slices of the order, one slice at a time."""
-    part, rows = 0, []
-    for row in ordered.orderBy("rank0").toLocalIterator():
-        if row["rank0"] // size != part:
-            yield part, rows
-            part, rows = row["rank0"] // size, []
-        rows.append(row)
-    if rows:
-        yield part, rows
+    files = cut(binary.embedding_blobs(docs, DIM), "files")
+    ids = files.select("path", F.posexplode("ids").alias("ord", "doc_id"))
+    rows = binary.embeddings_of(files).join(ids, ["path", "ord"])
+    return rows.select("doc_id", "n_tokens", F.round(vectors.total(vectors.doubles("flat")), 4).alias("total"))
 
 
 @query(f"WITH {_HEXED} SELECT h.doc_id, string_agg(cid::VARCHAR, ' ' ORDER BY t) AS codes, any_value(residuals) AS residuals, count(*)::INTEGER AS n_tokens FROM hexed h JOIN asg USING (doc_id) GROUP BY h.doc_id")
 def index_file_roundtrip(spark, folder):
     trained = _codec(spark, folder)
-    encoded = _encoded(spark, folder, trained).orderBy("doc_id").toLocalIterator()
-    docs = [(r["doc_id"], list(r["codes"]), bytes(r["residuals"])) for r in encoded]
-    lists: list[list[int]] = [[] for _ in range(CENTROIDS)]
-    for i, (_, codes, _) in enumerate(docs):
-        for c in sorted(set(codes)):
-            lists[c].append(i)
-    place = tempfile.mkdtemp(prefix="spindrel-file-")
-    with open(f"{place}/index.fpqz", "wb") as out:
-        out.write(binary.write_index(DIM, trained.centroids, lists, trained.centroids, trained.average, trained.cutoffs, trained.weights, docs))
-    found = binary.read_index_documents(spark, f"file://{place}/index.fpqz")
-    result = cut(found.select("doc_id", F.array_join(F.col("codes").cast("array<string>"), " ").alias("codes"), F.hex("residuals").alias("residuals"), "n_tokens"), "roundtrip")
-    shutil.rmtree(place)
-    return result
+    files = cut(binary.index_blobs(_encoded(spark, folder, trained), trained), "files")
+    rows = binary.index_documents_of(files)
+    return rows.select("doc_id", F.array_join(F.col("codes").cast("array<string>"), " ").alias("codes"), F.hex("residuals").alias("residuals"), "n_tokens")
 
 
 @query()
 def streaming_incremental_add(spark, folder):
-    place = tempfile.mkdtemp(prefix="spindrel-stream-")
+    place = scratch(spark)
     docs = _docs(spark, folder)
     late = _tokens(spark, folder).where("pos = 0 and label >= 8").select("doc_id")
-    index = VectorIndex(spark, f"file://{place}/index", DIM).create(docs.join(late, "doc_id", "left_anti"), rounds=1, centroids=CENTROIDS)
-    docs.join(late, "doc_id", "left_semi").write.parquet(f"file://{place}/arriving")
-    schema = spark.read.parquet(f"file://{place}/arriving").schema
-    stream = add_stream(index, spark.readStream.schema(schema).parquet(f"file://{place}/arriving"), f"file://{place}/checkpoint")
+    index = VectorIndex(spark, f"{place}/index", DIM).create(docs.join(late, "doc_id", "left_anti"), rounds=1, centroids=CENTROIDS)
+    docs.join(late, "doc_id", "left_semi").write.parquet(f"{place}/arriving")
+    schema = spark.read.parquet(f"{place}/arriving").schema
+    stream = add_stream(index, spark.readStream.schema(schema).parquet(f"{place}/arriving"), f"{place}/checkpoint")
     stream.awaitTermination()
-    out = cut(index.store.table("docs").select("doc_idx", "doc_id", "n_tokens"), "streamed")
-    shutil.rmtree(place)
-    return out
+    return index.store.table("docs").select("doc_idx", "doc_id", "n_tokens")

@@ -6,11 +6,14 @@ Files are read whole, one per task, and become rows at once; larger collections
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.codec import Codec
 
 MAGIC, VERSION = b"FPQZ", 1
 
@@ -53,8 +56,39 @@ def parse_uniform_embeddings(raw: bytes) -> tuple[int, list[np.ndarray]]:
     return dim, list(r.take("f4", n * tokens * dim).reshape(n, tokens, dim))
 
 
-def read_embeddings(spark: SparkSession, path: str, uniform: bool = False) -> DataFrame:
-    """(path, ord, n_tokens, dim, flat): a row per document of the files."""
+def embedding_blobs(docs: DataFrame, dim: int, per: int = 4096) -> DataFrame:
+    """(path, content): packed documents (doc_id, flat) as files of ``per`` documents at most, each made in one task.
+
+    A file's documents are in the order of their ids, which the path tells apart by the first of them.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            frame = frame.sort_values("doc_id")
+            for start in range(0, len(frame), per):
+                part = frame.iloc[start : start + per]
+                content = write_embeddings([np.asarray(x, np.float32).reshape(-1, dim) for x in part["flat"]])
+                yield pd.DataFrame({"path": [f"embeddings-{part['doc_id'].iloc[0]}.bin"], "content": [content], "ids": [part["doc_id"].to_numpy()]})
+
+    return docs.where("flat is not null").select(F.col("doc_id").cast("long"), "flat").mapInPandas(run, "path string, content binary, ids array<long>")
+
+
+def write_blobs(files: DataFrame, folder: str) -> list[str]:
+    """Write (path, content) rows as files, one at a time; returns their paths."""
+    spark = files.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    done = []
+    for row in files.select("path", "content").toLocalIterator():
+        place = hadoop.Path(f"{folder.rstrip('/')}/{row['path']}")
+        out = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(place, True)
+        out.write(bytes(row["content"]))
+        out.close()
+        done.append(place.toString())
+    return done
+
+
+def embeddings_of(files: DataFrame, uniform: bool = False) -> DataFrame:
+    """(path, ord, n_tokens, dim, flat): a row per document of the files (path, content)."""
     parse = parse_uniform_embeddings if uniform else parse_embeddings
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -65,8 +99,16 @@ def read_embeddings(spark: SparkSession, path: str, uniform: bool = False) -> Da
                     part = docs[start : start + 4096]
                     yield pd.DataFrame({"path": path, "ord": np.arange(start, start + len(part)), "n_tokens": [len(d) for d in part], "dim": dim, "flat": [d.ravel() for d in part]})
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, "path string, ord long, n_tokens int, dim int, flat array<float>")
+    return files.select("path", "content").mapInPandas(run, "path string, ord long, n_tokens int, dim int, flat array<float>")
+
+
+def read_embeddings(spark: SparkSession, path: str, uniform: bool = False) -> DataFrame:
+    """``embeddings_of`` stored files."""
+    return embeddings_of(_stored(spark, path), uniform)
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
 def write_index(dim: int, centroids: np.ndarray, lists: list[list[int]], codebook: np.ndarray, average: np.ndarray, cutoffs: np.ndarray, weights: np.ndarray, docs: list[tuple[int, list[int], bytes]]) -> bytes:
@@ -122,22 +164,50 @@ def parse_minmax_index(raw: bytes) -> dict:
     return out
 
 
-def _documents(parse):
+def index_blobs(encoded: DataFrame, codec: Codec, per: int = 25_000) -> DataFrame:
+    """(path, content): encoded documents (doc_id, codes, residuals, n_tokens) as index files of about ``per`` documents.
+
+    Each file has the codec, the centroids and the inverted lists of its own documents, and is made in one task.
+    """
+    n = max(1, -(-encoded.count() // per))
+    shared = encoded.sparkSession.sparkContext.broadcast(codec)
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        codec = shared.value
+        frame = frame.sort_values("doc_id")
+        docs = [(int(i), list(map(int, c)), bytes(r)) for i, c, r in zip(frame["doc_id"], frame["codes"], frame["residuals"])]
+        lists: list[list[int]] = [[] for _ in range(len(codec.centroids))]
+        for place, (_, codes, _) in enumerate(docs):
+            for c in sorted(set(codes)):
+                lists[c].append(place)
+        content = write_index(codec.centroids.shape[1], codec.centroids, lists, codec.centroids, codec.average, codec.cutoffs, codec.weights, docs)
+        return pd.DataFrame({"path": [f"index-{key[0]:06d}.bin"], "content": [content]})
+
+    rows = encoded.where("codes is not null and residuals is not null").select("doc_id", "codes", "residuals", F.pmod(F.xxhash64("doc_id"), F.lit(n)).alias("part"))
+    return rows.groupBy("part").applyInPandas(run, "path string, content binary")
+
+
+def _parsed(files: DataFrame, parse: Callable[[str, bytes], pd.DataFrame], schema: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, raw in zip(batch["path"], batch["content"]):
                 yield parse(path, bytes(raw))
 
-    return run
+    return files.select("path", "content").mapInPandas(run, schema)
 
 
-def read_index_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(path, doc_id, n_tokens, codes, residuals) of quantised index files."""
+def index_documents_of(files: DataFrame) -> DataFrame:
+    """(path, doc_id, n_tokens, codes, residuals) of the quantised index files (path, content)."""
 
     def parse(path: str, raw: bytes) -> pd.DataFrame:
         return pd.DataFrame([{"path": path, **d} for d in parse_index(raw)["docs"]], columns=["path", "doc_id", "n_tokens", "codes", "residuals"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_documents(parse), "path string, doc_id long, n_tokens int, codes array<int>, residuals binary")
+    return _parsed(files, parse, "path string, doc_id long, n_tokens int, codes array<int>, residuals binary")
+
+
+def read_index_documents(spark: SparkSession, path: str) -> DataFrame:
+    """``index_documents_of`` stored files."""
+    return index_documents_of(_stored(spark, path))
 
 
 def read_index_postings(spark: SparkSession, path: str) -> DataFrame:
@@ -146,7 +216,7 @@ def read_index_postings(spark: SparkSession, path: str) -> DataFrame:
     def parse(path: str, raw: bytes) -> pd.DataFrame:
         return pd.DataFrame([(path, c, d) for c, x in enumerate(parse_index(raw)["lists"]) for d in x], columns=["path", "cid", "doc_id"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_documents(parse), "path string, cid long, doc_id long")
+    return _parsed(_stored(spark, path), parse, "path string, cid long, doc_id long")
 
 
 def read_minmax_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -157,5 +227,4 @@ def read_minmax_documents(spark: SparkSession, path: str) -> DataFrame:
         ends = x["boundaries"]
         return pd.DataFrame([(path, i, int(x["labels"][i]), x["vectors"][a:b].ravel()) for i, (a, b) in enumerate(zip(ends, ends[1:]))], columns=["path", "doc_id", "label", "flat"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_documents(parse), "path string, doc_id long, label int, flat array<double>")
-
+    return _parsed(_stored(spark, path), parse, "path string, doc_id long, label int, flat array<double>")
