@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.lineage import cut
 from ..plans.spread import spread
 
 #: Sampled vectors at most that become directions of the routing; with 64 doubles each they take 8 MB in every task.
@@ -133,7 +134,7 @@ def routed(vectors: DataFrame, axes: np.ndarray, ways: int, block: int = 16_384)
     spark = vectors.sparkSession
     shared = spark.sparkContext.broadcast(axes)  # bounded by DIRECTIONS
     ways = min(ways, len(axes))
-    out = T.StructType([T.StructField("axis", T.IntegerType()), T.StructField("id", T.LongType()), T.StructField("vec", T.ArrayType(T.DoubleType(), False))])
+    out = T.StructType([T.StructField("id", T.LongType()), T.StructField("vec", T.ArrayType(T.DoubleType(), False)), T.StructField("axes", T.ArrayType(T.IntegerType(), False))])
 
     def strongest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,15 +143,16 @@ def routed(vectors: DataFrame, axes: np.ndarray, ways: int, block: int = 16_384)
                 x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
                 along = x @ shared.value.T
                 top = np.argpartition(-along, ways - 1, axis=1)[:, :ways]
-                rows = pa.array(np.repeat(np.arange(part.num_rows), ways), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(top.ravel(), pa.int32()), part.column(0).take(rows), part.column(1).take(rows)], names=["axis", "id", "vec"])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, top.size + 1, ways), pa.int32()), pa.array(top.ravel(), pa.int32()), type=pa.list_(pa.field("element", pa.int32(), False)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], names=["id", "vec", "axes"])
 
-    spread = vectors.select("id", "vec").mapInArrow(strongest, out)
-    large = {r["axis"]: math.ceil(r["n"] / block) for r in spread.groupBy("axis").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).collect()}  # a row per direction at most
+    # directions are found once and kept, as every vector is compared with all of them
+    ways_of = cut(vectors.select("id", "vec").mapInArrow(strongest, out), "routed").select(F.explode("axes").alias("axis"), "id", "vec")
+    large = {r["axis"]: math.ceil(r["n"] / block) for r in ways_of.groupBy("axis").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).collect()}  # a row per direction at most
     if not large:
-        return spread.select("axis", F.lit(0).alias("qb"), F.lit(0).alias("ob"), F.lit(True).alias("query"), F.lit(True).alias("object"), "id", "vec")
+        return ways_of.select("axis", F.lit(0).alias("qb"), F.lit(0).alias("ob"), F.lit(True).alias("query"), F.lit(True).alias("object"), "id", "vec")
     blocks = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in large.items() for x in kv]), F.col("axis")), F.lit(1))
-    own = spread.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    own = ways_of.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     same = own.select("axis", F.col("own").alias("qb"), F.col("own").alias("ob"), F.lit(True).alias("query"), F.lit(True).alias("object"), "id", "vec")
     more = own.where("blocks > 1").withColumn("b", other).where("b <> own")
