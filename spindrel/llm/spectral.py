@@ -21,54 +21,48 @@ from .vectors import directions, routed
 #: Random vectors, iterations at most, and the distance below which coordinates count as equal.
 VECTORS, ITERATIONS, NEAR = 8, 24, 1e-5
 
-#: Rows of a group whose similarities are computed at a time.
-ROWS = 512
+#: Cells (queries x objects) whose similarities are computed at a time.
+CELLS = 1 << 20
+
+
+def sparse_links(ids: np.ndarray, vectors: np.ndarray, asks: np.ndarray, held: np.ndarray, least: float, k: int) -> pd.DataFrame:
+    """(a, b, w): of each asking vector its k most similar held ones, and a forest that connects all that similar pairs connect here.
+
+    A pair beyond the k nearest is kept only where it connects what is apart so far, so links are in proportion to the
+    vectors, however dense a cluster is.
+    """
+    label = np.arange(len(ids))  # of what is connected so far
+    out_a, out_b, out_w = [], [], []
+    step = max(1, CELLS // max(1, len(held)))
+    for start in range(0, len(asks), step):
+        at = asks[start : start + step]
+        sim = np.round(vectors[at] @ vectors[held].T, 6)
+        sim[ids[at][:, None] == ids[held][None, :]] = -2
+        near = np.argpartition(-sim, k, axis=1)[:, :k] if len(held) > k else np.tile(np.arange(len(held)), (len(at), 1))
+        similar = np.take_along_axis(sim, near, 1) >= least
+        for row in np.flatnonzero(similar.any(1)):
+            partners = np.flatnonzero(sim[row] >= least)
+            labels, first = np.unique(label[held[partners]], return_index=True)
+            other = labels != label[at[row]]
+            kept = np.union1d(near[row][similar[row]], partners[first[other]])
+            out_a.append(np.full(len(kept), ids[at[row]]))
+            out_b.append(ids[held[kept]])
+            out_w.append(sim[row, kept])
+            if other.any():
+                onto = np.arange(len(ids))
+                onto[labels] = onto[label[at[row]]] = min(labels[0], label[at[row]])
+                label = onto[label]
+    if not out_a:
+        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "w": np.zeros(0)})
+    a, b = np.concatenate(out_a), np.concatenate(out_b)
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "w": np.concatenate(out_w)}).drop_duplicates()
 
 
 def _edges(least: float, k: int):
     def run(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        """Of each query its k most similar objects, and a forest that connects all that similar pairs connect here."""
-        ids, vectors = rows["id"].to_numpy(np.int64), np.stack(rows["vec"].to_numpy())
+        rows = rows.sort_values("id")
         asks, held = np.flatnonzero(rows["query"].to_numpy(bool)), np.flatnonzero(rows["object"].to_numpy(bool))
-        root = np.arange(len(ids))
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        out_a, out_b, out_s = [], [], []
-        for start in range(0, len(asks), ROWS):
-            at = asks[start : start + ROWS]
-            sim = np.round(vectors[at] @ vectors[held].T, 6)
-            q, o = np.nonzero((sim >= least) & (ids[at][:, None] != ids[held][None, :]))
-            if not len(q):
-                continue
-            s = sim[q, o]
-            order = np.lexsort((ids[held[o]], -s, q))
-            q, o, s = q[order], o[order], s[order]
-            rank = np.arange(len(q)) - np.searchsorted(q, q)
-            near = rank < k
-            keep = near.copy()
-            for x in np.flatnonzero(near):
-                a, b = find(at[q[x]]), find(held[o[x]])
-                root[max(a, b)] = min(a, b)
-            # pairs beyond the k nearest only matter where they connect what is apart so far
-            top = np.array([find(x) for x in range(len(ids))])
-            apart = np.flatnonzero(~near & (top[at[q]] != top[held[o]]))
-            for x in apart:
-                a, b = find(at[q[x]]), find(held[o[x]])
-                if a != b:
-                    root[max(a, b)] = min(a, b)
-                    keep[x] = True
-            out_a.append(ids[at[q[keep]]])
-            out_b.append(ids[held[o[keep]]])
-            out_s.append(s[keep])
-        if not out_a:
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "w": np.zeros(0)})
-        a, b = np.concatenate(out_a), np.concatenate(out_b)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "w": np.concatenate(out_s)}).drop_duplicates()
+        return sparse_links(rows["id"].to_numpy(np.int64), np.stack(rows["vec"].to_numpy()), asks, held, least, k)
 
     return run
 
