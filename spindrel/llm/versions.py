@@ -28,7 +28,7 @@ from ..plans.spread import spread
 from .graph import components
 
 #: Segments of so many bits each; the bits of each nearest to the mean, whose pairs are flipped too; parity bits.
-SEGMENTS, BITS, WEAK, PARITY = 18, 17, 4, 384
+SEGMENTS, BITS, WEAK, PARITY = 20, 17, 5, 384
 
 #: Records that the mean is weighed against.
 FEW = 64
@@ -148,10 +148,12 @@ def hamming_pairs(prints: DataFrame, share: float = 0.75) -> DataFrame:
     names = [f"f{j}" for j in range(longs)]
     segments = prints.select("rep", "n", *(F.col("parity")[j].alias(x) for j, x in enumerate(names)), "weak", F.posexplode("keys").alias("s", "segment"))
     table = segments.select("rep", "n", *names, F.col("segment").alias("key"))
-    # the ball round a segment: itself, every bit flipped, and every two of its bits nearest to the mean
+    # the ball round a segment: itself, every bit that isn't set flipped (of two segments that differ in one bit, one
+    # hasn't set it and finds the other), and every two of its bits nearest to the mean
     near_mean = F.slice("weak", F.col("s") * WEAK + 1, F.lit(WEAK))
     pairs = [F.col("m")[x].bitwiseXOR(F.col("m")[y]) for x, y in combinations(range(WEAK), 2)]
-    flips = F.concat(F.array(*(F.lit(f).cast("long") for f in [0, *(1 << b for b in range(BITS))])), F.array(*pairs))
+    single = F.filter(F.array(*(F.lit(f).cast("long") for f in [0, *(1 << b for b in range(BITS))])), lambda f: F.col("segment").bitwiseAND(f) == 0)
+    flips = F.concat(single, F.array(*pairs))
     lookups = segments.withColumn("m", near_mean).select("rep", "n", *names, F.explode(F.transform(flips, lambda f: F.col("segment").bitwiseXOR(f))).alias("key"))
     # keys that very many classes share are split into salted parts of the table, which every lookup of the key visits
     hot = table.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT).select("key", F.ceil(F.col("c") / HOT).cast("int").alias("parts"))
