@@ -21,7 +21,7 @@ from .plans.ranks import ranked, renumbered, running_total
 from .sources import binary, records
 from .streaming.incremental import add_stream
 
-DIM, CENTROIDS, PROBES, TOP = 64, 16, 4, 10
+DIM, CENTROIDS, PROBES, TOP, FULL_SCORES = 64, 16, 4, 10, 320
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -521,7 +521,7 @@ def quantized_search_topk(spark, folder):
 _STAGED = _CODEC + """,
 approx AS (SELECT query_id, doc_id, round(sum(m), 6) AS approx FROM (
   SELECT cand.query_id, cand.doc_id, mat.qpos, max(mat.score) AS m FROM cand JOIN post USING (doc_id) JOIN mat ON mat.query_id = cand.query_id AND mat.cid = post.cid GROUP BY ALL) GROUP BY ALL),
-prn AS (SELECT query_id, doc_id, approx, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY approx DESC, doc_id) AS rank FROM approx) WHERE rank <= 10)"""
+prn AS (SELECT query_id, doc_id, approx, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY approx DESC, doc_id) AS rank FROM approx) WHERE rank <= 80)"""
 
 
 def _approximate(spark, folder):
@@ -537,7 +537,7 @@ def approx_centroid_scores(spark, folder):
 
 @query(f"WITH {_STAGED} SELECT query_id, doc_id, approx, rank::INTEGER AS rank FROM prn")
 def prune_stages(spark, folder):
-    return search.pruned(_approximate(spark, folder), 40)
+    return search.pruned(_approximate(spark, folder), FULL_SCORES)
 
 
 @query(f"""WITH {_STAGED}, s AS (SELECT query_id, doc_id, round(sum(m), 6) AS score FROM (
@@ -545,7 +545,7 @@ def prune_stages(spark, folder):
 def staged_search_topk(spark, folder):
     trained = _codec(spark, folder)
     encoded = cut(_encoded(spark, folder, trained), "encoded")
-    return search.search_staged(_search_queries(spark, folder), encoded, trained, ivf.postings_of_lists(encoded), search.SearchParameters(TOP, PROBES, 40))
+    return search.search_staged(_search_queries(spark, folder), encoded, trained, ivf.postings_of_lists(encoded), search.SearchParameters(TOP, PROBES, FULL_SCORES))
 
 
 def _subset_sql(condition: str) -> str:
