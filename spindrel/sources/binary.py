@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators.codec import Codec
 
+#: Fixed values of the file format: its first bytes and version.
 MAGIC, VERSION = b"FPQZ", 1
 
 
