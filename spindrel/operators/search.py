@@ -17,13 +17,18 @@ from .kmeans import codebook_frame
 from .maxsim import best, query_blocks, score_batch, similarity_matrix
 
 
+#: Share of a query's candidates that is decoded at least. The rank by centroids says little of the exact one, so a fixed number loses more the more candidates there are.
+SHARE = 0.9
+
+
 @dataclass
 class SearchParameters:
-    """top_k results; ``probes`` clusters a query token; ``full_scores`` documents that approximate scores leave."""
+    """top_k results; ``probes`` clusters a query token; ``full_scores`` documents that approximate scores leave, of which a quarter is decoded, but ``share`` of a query's candidates at least."""
 
     top_k: int = 10
     probes: int = 8
     full_scores: int = 4096
+    share: float = SHARE
 
 
 def rescored(found: DataFrame, docs: DataFrame, queries: DataFrame, dim: int, average: bool = False) -> DataFrame:
@@ -87,11 +92,14 @@ def approximate(found: DataFrame, codes: DataFrame, matrix: DataFrame) -> DataFr
     return top.groupBy("query_id", "doc_id").agg(F.round(F.sum("m"), 6).alias("approx"))
 
 
-def pruned(approx: DataFrame, full_scores: int) -> DataFrame:
-    """(query_id, doc_id, approx, rank): the best ``full_scores`` of each query, then the best quarter of that number (one at least)."""
+def pruned(approx: DataFrame, full_scores: int, share: float = 0.0) -> DataFrame:
+    """(query_id, doc_id, approx, rank): the best ``full_scores`` of each query, then the best quarter of that number (one at least); ``share`` of the query's candidates at least."""
     keep = min(full_scores, max(full_scores // 4, 1))
     ranked = approx.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("approx"), F.asc("doc_id"))))
-    return ranked.where(F.col("rank") <= keep)
+    if not share:
+        return ranked.where(F.col("rank") <= keep)
+    counts = approx.groupBy("query_id").agg(F.ceil(F.count(F.lit(1)) * F.lit(share)).alias("least"))
+    return ranked.join(counts, "query_id").where(F.col("rank") <= F.greatest(F.lit(keep), F.col("least"))).drop("least")
 
 
 def search_staged(queries: DataFrame, encoded: DataFrame, codec: Codec, lists: DataFrame, parameters: SearchParameters, subset: DataFrame | None = None, delta: DataFrame | None = None) -> DataFrame:
@@ -101,6 +109,6 @@ def search_staged(queries: DataFrame, encoded: DataFrame, codec: Codec, lists: D
     top = matrix.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "qpos").orderBy(F.desc("score"), F.asc("cid")))).where(F.col("r") <= parameters.probes)
     found = candidates(top, lists, delta, subset)
     every = lists if delta is None else lists.unionByName(delta).distinct()
-    left = cut(pruned(approximate(found, every, matrix), parameters.full_scores).select("query_id", "doc_id"), "pruned")
+    left = cut(pruned(approximate(found, every, matrix), parameters.full_scores, parameters.share).select("query_id", "doc_id"), "pruned")
     wanted = encoded.join(left.select("doc_id").distinct(), "doc_id", "left_semi")
     return best(rescored(left, decode(wanted, codec), queries, codec.centroids.shape[1]), parameters.top_k).select("query_id", "rank", "doc_id", "score")

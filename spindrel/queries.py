@@ -545,7 +545,7 @@ def prune_stages(spark, folder):
 def staged_search_topk(spark, folder):
     trained = _codec(spark, folder)
     encoded = cut(_encoded(spark, folder, trained), "encoded")
-    return search.search_staged(_search_queries(spark, folder), encoded, trained, ivf.postings_of_lists(encoded), search.SearchParameters(TOP, PROBES, FULL_SCORES))
+    return search.search_staged(_search_queries(spark, folder), encoded, trained, ivf.postings_of_lists(encoded), search.SearchParameters(TOP, PROBES, FULL_SCORES, share=0.0))  # as many as the SQL states
 
 
 def _subset_sql(condition: str) -> str:

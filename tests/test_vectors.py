@@ -120,3 +120,11 @@ def test_ties_go_to_the_smaller_centroid(spark, metric):
     tokens = spark.createDataFrame([(0, [1.0, 0.0])], "t long, vec array<double>")
     book = spark.createDataFrame([(4, [1.0, 0.0]), (2, [1.0, 0.0])], "cid long, vec array<double>")
     assert kmeans.assigned(tokens, book, metric, ["t"]).first()["cid"] == 2
+
+
+def test_pruning_grows_with_the_candidates(spark):
+    from spindrel.operators.search import SearchParameters, pruned
+
+    approx = spark.createDataFrame([(q, d, float(d)) for q, n in ((0, 1000), (1, 40)) for d in range(n)], "query_id long, doc_id long, approx double")
+    kept = lambda share: {r["query_id"]: r["count"] for r in pruned(approx, 320, share).groupBy("query_id").count().collect()}
+    assert kept(0.0) == {0: 80, 1: 40} and kept(SearchParameters().share) == {0: 900, 1: 40}
