@@ -1,4 +1,4 @@
-"""Vectors of documents, and the routing of like vectors into bounded blocks."""
+"""Vectors of documents, the routing of like vectors into bounded blocks, and the meeting of all blocks."""
 
 from __future__ import annotations
 
@@ -159,3 +159,20 @@ def routed(vectors: DataFrame, axes: np.ndarray, ways: int, block: int = 16_384)
     asks = more.select("axis", F.col("own").alias("qb"), F.col("b").alias("ob"), F.lit(True).alias("query"), F.lit(False).alias("object"), "id", "vec")
     held = more.select("axis", F.col("b").alias("qb"), F.col("own").alias("ob"), F.lit(False).alias("query"), F.lit(True).alias("object"), "id", "vec")
     return same.unionByName(asks).unionByName(held)
+
+
+def met(vectors: DataFrame, n: int, block: int = 16_384, once: bool = False) -> DataFrame:
+    """(qb, ob, query, object, and the columns of ``vectors``): every block of vectors meets every block in a group of its own, so that no pair is lost.
+
+    ``n`` is the number of vectors. A group has at most about ``block`` queries and as many objects. ``once``: two blocks meet in one of the two
+    orders only, for pairs without direction. Rows are the vectors times the blocks, and pairs grow with the square of the vectors.
+    """
+    blocks = max(1, math.ceil(n / block), min(4, n // 1024))  # a few even of a small table, to keep cores busy
+    own = vectors.withColumn("own", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(blocks)).cast("int"))
+    columns = vectors.columns
+    same = own.select(F.col("own").alias("qb"), F.col("own").alias("ob"), F.lit(True).alias("query"), F.lit(True).alias("object"), *columns)
+    more = own.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).where("b <> own")
+    asks = more.select(F.col("own").alias("qb"), F.col("b").alias("ob"), F.lit(True).alias("query"), F.lit(False).alias("object"), *columns)
+    held = more.select(F.col("b").alias("qb"), F.col("own").alias("ob"), F.lit(False).alias("query"), F.lit(True).alias("object"), *columns)
+    out = same.unionByName(asks).unionByName(held)
+    return out.where("qb <= ob") if once else out
