@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
 from .graph import components
-from .vectors import directions, routed
+from .vectors import directions, met, routed
 
 #: Random vectors, iterations at most, and the distance below which coordinates count as equal.
 VECTORS, ITERATIONS, NEAR = 8, 24, 1e-5
@@ -24,6 +24,9 @@ VECTORS, ITERATIONS, NEAR = 8, 24, 1e-5
 #: Cells (queries x objects) whose similarities are computed at a time.
 CELLS = 1 << 20
 
+#: Room for rounding where cosines of unit vectors are first computed in single precision.
+NARROW = 1e-4
+
 
 def sparse_links(ids: np.ndarray, vectors: np.ndarray, asks: np.ndarray, held: np.ndarray, least: float, k: int) -> pd.DataFrame:
     """(a, b, w): of each asking vector its k most similar held ones, and a forest that connects all that similar pairs connect here.
@@ -67,19 +70,51 @@ def _edges(least: float, k: int):
     return run
 
 
+def bridges(ids: np.ndarray, vectors: np.ndarray, labels: np.ndarray, asks: np.ndarray, held: np.ndarray, least: float) -> pd.DataFrame:
+    """(a, b, w): similar pairs of an asking and a held vector of different labels, one per step and pair of labels."""
+    out = []
+    asked, objects, of = vectors[asks].astype(np.float32), vectors[held].astype(np.float32), labels[held]
+    step = max(1, CELLS // max(1, len(held)))
+    for start in range(0, len(asks), step):
+        row, col = np.nonzero(asked[start : start + step] @ objects.T >= least - NARROW)
+        row += start
+        other = labels[asks[row]] != of[col]
+        q, o = asks[row[other]], held[col[other]]
+        w = np.round(np.einsum("ij,ij->i", vectors[q], vectors[o]), 6)
+        q, o, w = q[w >= least], o[w >= least], w[w >= least]
+        found = pd.DataFrame({"a": np.minimum(ids[q], ids[o]), "b": np.maximum(ids[q], ids[o]), "w": w, "u": np.minimum(labels[q], labels[o]), "v": np.maximum(labels[q], labels[o])})
+        out.append(found.drop_duplicates(["u", "v"])[["a", "b", "w"]])
+    return pd.concat(out, ignore_index=True)
+
+
+def _bridges(least: float):
+    def run(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        asks, held = np.flatnonzero(rows["query"].to_numpy(bool)), np.flatnonzero(rows["object"].to_numpy(bool))
+        if not len(asks) or not len(held):
+            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "w": np.zeros(0)})
+        return bridges(rows["id"].to_numpy(np.int64), np.stack(rows["vec"].to_numpy()), rows["label"].to_numpy(np.int64), asks, held, least)
+
+    return run
+
+
 def affinities(vectors: DataFrame, least: float = 0.85, k: int = 8, ways: int = 6, block: int = 16_384) -> DataFrame:
     """(a, b, w), a < b: a sparse graph of similar documents with the connected components of the full one.
 
     Vectors are unit vectors (id, vec); those of equal coordinates must be one row. Each group of ``routed`` gives its
     vectors' k most similar partners and what else it takes to connect them, so its size is in proportion to the
-    vectors, however large a cluster is.
+    vectors, however large a cluster is. Similar vectors may share no group; so every block of vectors then meets every
+    block, and pairs that connect components still apart are added.
     """
-    axes = directions(vectors, vectors.count())
+    n = vectors.count()
+    axes = directions(vectors, n)
     if not len(axes):
         return vectors.sparkSession.createDataFrame([], "a long, b long, w double")
     groups = routed(vectors, axes, ways, block)
     found = groups.groupBy("axis", "qb", "ob").applyInPandas(_edges(least, k), "a long, b long, w double")
-    return found.groupBy("a", "b").agg(F.max("w").alias("w"))
+    found = cut(found.groupBy("a", "b").agg(F.max("w").alias("w")), "routes")
+    labelled = vectors.join(components(found).withColumnRenamed("node", "id"), "id", "left").select("id", "vec", F.coalesce("component", "id").alias("label"))
+    missing = met(cut(labelled, "labelled"), n, block, once=True).groupBy("qb", "ob").applyInPandas(_bridges(least), "a long, b long, w double")
+    return found.unionByName(missing).groupBy("a", "b").agg(F.max("w").alias("w"))
 
 
 def embed(edges: DataFrame, vectors: int = VECTORS, iterations: int = ITERATIONS, near: float = NEAR) -> DataFrame:

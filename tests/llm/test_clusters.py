@@ -6,7 +6,7 @@ import pytest
 from spindrel.llm.graph import components
 from spindrel.llm.spectral import Clusters, affinities, embed, k_means
 
-from .test_neighbours import clustered, frame
+from .test_neighbours import clustered, frame, isolated_pairs, random_directions
 
 
 def union_find(edges, nodes=()):
@@ -89,3 +89,10 @@ def test_described(spark):
         assert abs(mean - r["affinity"]) < 2e-6
     assert Clusters(frame(spark, [], [])).labels().count() == 0
     assert Clusters(frame(spark, [], [])).described().count() == 0
+
+
+def test_isolated_links_are_found_among_thousands_of_directions(spark, monkeypatch):
+    monkeypatch.setattr("spindrel.llm.spectral.directions", lambda vectors, n: random_directions(4000))  # as many as of a large collection
+    ids, x, pairs = isolated_pairs(1500, 3000)
+    edges = {(r["a"], r["b"]) for r in affinities(frame(spark, ids, x), block=2048).collect()}
+    assert edges == pairs and union_find(edges, map(int, ids)) == exact(ids, x)
