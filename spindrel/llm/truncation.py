@@ -158,9 +158,10 @@ def truncated(df: DataFrame, key: str = "doc_id", text: str = "text", source: st
     # where words stand: within a unit, at the end of one, at the end of one without a full stop
     finals = t.where(F.col("closing").isin("title", "item", "keywords", "heading", "signature")).select(_digits(F.col("line")).alias("u"))
     stop = lambda c: _like(c, r"[.!?。！？][\"'”’»)\]*`]*\s*$")
-    placed = inner.union(finals).select(F.regexp_extract_all(F.lower("u"), F.lit(f"({WORD})"), F.lit(1)).alias("w"), stop(F.col("u")).alias("stop"))
-    placed = placed.select(F.posexplode("w").alias("p", "w"), F.size("w").alias("n"), "stop").select(F.col("w").alias("word"), (F.col("p") == F.col("n") - 1).alias("last"), "stop")
-    lexicon = placed.groupBy("word").agg(F.count_if(~F.col("last")).alias("within"), F.count_if("last").alias("at_end"), F.count_if(F.col("last") & ~F.col("stop")).alias("closes"))
+    placed = inner.withColumn("final", F.lit(False)).union(finals.withColumn("final", F.lit(True)))
+    placed = placed.select(F.regexp_extract_all(F.lower("u"), F.lit(f"({WORD})"), F.lit(1)).alias("w"), stop(F.col("u")).alias("stop"), "final")
+    placed = placed.select(F.posexplode("w").alias("p", "w"), F.size("w").alias("n"), "stop", "final").select(F.col("w").alias("word"), (F.col("p") == F.col("n") - 1).alias("last"), "stop", "final")
+    lexicon = placed.groupBy("word").agg(F.count_if(~F.col("last")).alias("within"), F.count_if("last").alias("at_end"), F.count_if(F.col("last") & ~F.col("stop")).alias("closes"), F.count_if(F.col("last") & F.col("final")).alias("judged"))
     lexicon = cut(lexicon, "lexicon")
     asked = t.select("row", _folded(F.col("word")).alias("word")).where("word <> ''")
     wanted = asked.select("word").distinct()
@@ -187,7 +188,8 @@ def truncated(df: DataFrame, key: str = "doc_id", text: str = "text", source: st
     own = F.col("closing").isin("title", "item", "keywords", "heading", "signature").cast("int")  # the row's own part in the counts
     within, closes = zero("within"), zero("closes") - own
     uses = zero("uses")
-    new = (within + zero("at_end") - own) <= 0
+    # the ends of all judged rows are left out: a fragment doesn't become a word because copies, or other texts, are cut to it too
+    new = (within + zero("at_end") - zero("judged")) <= 0
     part = new & (uses >= F.lit(max(3.0, CONTINUED * total)))
     never = (within >= F.lit(max(100.0, COMMON * total))) & (closes < within * SELDOM)
     repeated = (F.col("n_lines") > 1) & F.coalesce("alone", F.lit(False)) & ~F.col("marked") & ~_like(F.col("line"), r"[,:;-]$")

@@ -80,3 +80,10 @@ def test_very_long_text(spark, length):
     text = "It holds well. " * (length // 15)
     got = verdicts(spark, [text, text + "The cost is", *corpus(20)])
     assert not got[0]["cut"] and got[1]["cut"]
+
+
+def test_titles_cut_to_the_same_fragment(spark):
+    common = [f"We describe dense retrieval in setting {i}. It holds." for i in range(40)]
+    cut_titles = ["A Modular Approach for Hybrid Retrie", "A Modular Approach for Hybrid Retrie", "On Robust Anchors of Sparse Retrie"]
+    got = verdicts(spark, [*cut_titles, "On Robust Anchors of Sparse Retrieval", *common])
+    assert [got[i]["cut"] for i in range(4)] == [True, True, True, False]
