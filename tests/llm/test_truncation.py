@@ -87,3 +87,26 @@ def test_titles_cut_to_the_same_fragment(spark):
     cut_titles = ["A Modular Approach for Hybrid Retrie", "A Modular Approach for Hybrid Retrie", "On Robust Anchors of Sparse Retrie"]
     got = verdicts(spark, [*cut_titles, "On Robust Anchors of Sparse Retrieval", *common])
     assert [got[i]["cut"] for i in range(4)] == [True, True, True, False]
+
+
+def cut_corpus(seed=11, n=240):
+    """Texts of which every fourth is cut at a random place, and the numbers of those that don't happen to end with a sentence."""
+    r = random.Random(seed)
+    texts = corpus(n, seed)[:n]
+    for i in range(0, n, 4):
+        texts[i] = texts[i][: r.randint(30, len(texts[i]) - 2)]
+    return texts, {i for i in range(0, n, 4) if not texts[i].rstrip().endswith(".")}
+
+
+def test_joins_decide_and_frames_do_not(spark, monkeypatch):
+    texts, cases = cut_corpus()
+    found = {i for i, r in verdicts(spark, texts).items() if r["cut"]}
+    assert len(found & cases) >= 0.95 * len(cases) and len(found - cases) <= 0.05 * len(found)
+    # no frames, short forms: little is lost
+    rows = verdicts(spark, texts)
+    assert len({i for i in found if rows[i]["framed"] is None}) >= 0.95 * len(found)
+    # no end goes on elsewhere: nothing is left
+    monkeypatch.setattr("spindrel.llm.truncation.GOES_ON", -1.0)
+    monkeypatch.setattr("spindrel.llm.truncation.LEAST_USES", 1 << 40)
+    monkeypatch.setattr("spindrel.llm.truncation.LEAST_VALUE", 1 << 30)
+    assert len({i for i, r in verdicts(spark, texts).items() if r["cut"]} & cases) <= 0.1 * len(cases)
