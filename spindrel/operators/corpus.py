@@ -29,17 +29,31 @@ def unpacked(docs: DataFrame, dim: int) -> DataFrame:
     return rows.select("doc_id", "pos", token_of("flat", F.col("pos"), dim).alias("vec"))
 
 
+#: Values of a chunk of a flat buffer.
+BUFFER = 1 << 14
+
+
 def from_flat_buffer(values: DataFrame, info: DataFrame, dim: int) -> DataFrame:
     """Documents out of one flat buffer.
 
-    ``values`` is (i, x), the buffer by position; ``info`` is (ord, doc_id, num_tokens). Each document takes as many
-    vectors as it has tokens, in the order of ``ord``. A document that the buffer ends within is left out.
+    ``values`` is (i, x), the buffer by position, or (i, xs), runs of values of which the first has position i; ``info`` is
+    (ord, doc_id, num_tokens). Each document takes as many vectors as it has tokens, in the order of ``ord``. A document
+    that the buffer ends within is left out. Runs are joined with the documents they overlap, and cut by offsets.
     """
+    if "xs" not in values.columns:
+        runs = values.groupBy(F.expr(f"i div {BUFFER}").alias("run")).agg(F.min("i").alias("i"), F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v"))
+        values = runs.select("i", F.transform("v", lambda e: e["x"]).alias("xs"))
+    cells = F.explode(F.sequence(F.expr(f"i div {BUFFER}"), F.expr(f"(i + size(xs) - 1) div {BUFFER}"))).alias("run")
+    held = values.where("size(xs) > 0").select("i", "xs", cells)
     offsets = running_total(info, ["ord"], "num_tokens", "start")
-    wanted = offsets.select("doc_id", "ord", "num_tokens", (F.col("start") * dim).alias("from"), F.explode(F.sequence(F.lit(0), F.col("num_tokens") * dim - 1)).alias("k")).where("num_tokens > 0")
-    rows = wanted.withColumn("i", F.col("from") + F.col("k")).join(values, "i")
-    docs = rows.groupBy("ord", "doc_id", "num_tokens").agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("t"))
-    return docs.where(F.size("t") == F.col("num_tokens") * dim).select("doc_id", F.transform("t", lambda e: e["x"]).alias("flat"))
+    wanted = offsets.where("num_tokens > 0").select("doc_id", "ord", (F.col("num_tokens") * dim).alias("n"), (F.col("start") * dim).alias("from"))
+    wanted = wanted.withColumn("run", F.explode(F.sequence(F.expr(f"`from` div {BUFFER}"), F.expr(f"(`from` + n - 1) div {BUFFER}"))))
+    low = F.greatest(F.col("from"), F.col("i"), F.col("run") * BUFFER)
+    high = F.least(F.col("from") + F.col("n"), F.col("i") + F.size("xs"), (F.col("run") + 1) * BUFFER)
+    parts = wanted.join(held, "run").withColumn("low", low).withColumn("len", (high - low).cast("int")).where("len > 0")
+    parts = parts.select("doc_id", "ord", "n", "low", F.slice("xs", (F.col("low") - F.col("i") + 1).cast("int"), F.col("len")).alias("part"))
+    docs = parts.groupBy("ord", "doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("low", "part"))).alias("t"))
+    return docs.select("doc_id", "n", F.flatten(F.transform("t", lambda e: e["part"])).alias("flat")).where("size(flat) = n").drop("n")
 
 
 def from_arrays(spark: SparkSession, documents: Iterable, first: int = 0) -> DataFrame:

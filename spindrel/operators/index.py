@@ -6,6 +6,7 @@ codec (one row), metadata (by ``_subset_`` = doc_idx). In postings, doc_id is th
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
 
 import numpy as np
@@ -25,6 +26,9 @@ from .search import SearchParameters, search_quantised, search_staged
 #: Documents of a chunk, and the share of pending documents (in percent) at which deltas are compacted.
 CHUNK, COMPACT_AT = 25_000, 10
 
+#: Parts of a table that updates may leave before they are merged.
+PARTS = 32
+
 #: Tokens at most (those of smallest hash) whose residuals train the centred codec; each gives a row per dimension.
 CODEC_TOKENS = 1 << 20
 
@@ -43,6 +47,11 @@ def numbered(docs: DataFrame, first: int = 0) -> DataFrame:
     return renumbered(docs.select("doc_id", "flat").withColumn("doc_idx", F.lit(0).cast("long")), ["doc_id"], "doc_idx").withColumn("doc_idx", F.col("doc_idx") + first)
 
 
+def _share(tokens: DataFrame, n: int, total: int) -> DataFrame:
+    """About ``n`` of the ``total`` tokens, those of smallest hash; nothing is sorted or gathered."""
+    return tokens.where(F.pmod(F.xxhash64("t"), F.lit(1 << 31)) < math.ceil(n / total * (1 << 31)))
+
+
 class VectorIndex:
     """A multi-vector index in a folder. Documents are (doc_id, flat); queries are (query_id, qpos, vec)."""
 
@@ -95,9 +104,9 @@ class VectorIndex:
         book = cut(train(learnt, max(1, want), rounds, normalise=codec == "plain", per=per), "book")
         if codec == "plain":
             held = max(1, holdout_size(total))
-            trained = train_plain(tokens.orderBy(F.xxhash64("t")).limit(held), book, bits)
+            trained = train_plain(_share(tokens, held, total), book, bits)
         else:
-            trained = train_centred(tokens if total <= CODEC_TOKENS else cut(tokens.orderBy(F.xxhash64("t"), "t").limit(CODEC_TOKENS), "sample"), book)
+            trained = train_centred(tokens if total <= CODEC_TOKENS else cut(_share(tokens, CODEC_TOKENS, total), "sample"), book)
         self._write(docs, trained, metadata, dim)
         return self
 
@@ -116,9 +125,9 @@ class VectorIndex:
             drop.append("metadata")
         else:
             tables["metadata"] = metadata
-        self.store.commit(replace=tables, drop=tuple(drop), facts={"dim": dim, "pending": 0, "centroids": len(codec.centroids), "bits": codec.bits}, partition_by={"docs": "chunk"})
+        self.store.commit(replace=tables, drop=tuple(drop), facts={"dim": dim, "pending": 0, "centroids": len(codec.centroids), "bits": codec.bits})
 
-    def update(self, docs: DataFrame, metadata: Sequence[dict] | None = None, posting_mode: str = "all_tokens", facts: dict | None = None) -> int:
+    def update(self, docs: DataFrame, metadata: Sequence[dict] | DataFrame | None = None, posting_mode: str = "all_tokens", facts: dict | None = None) -> int:
         """Add documents with the codec as it is; returns how many. Postings go to the delta, which is compacted at its threshold.
 
         Without ``metadata`` the rows of new documents are empty, if there is metadata at all. ``facts`` go into the manifest
@@ -128,43 +137,65 @@ class VectorIndex:
         base = old.count()
         fresh = cut(numbered(docs, base), "fresh")
         n = fresh.count()
-        if metadata is not None and len(metadata) != n:
-            raise ValueError(f"there are {n} documents but {len(metadata)} rows of metadata")
+        given = n if metadata is None else metadata.count() if isinstance(metadata, DataFrame) else len(metadata)
+        if given != n:
+            raise ValueError(f"there are {n} documents but {given} rows of metadata")
         if not n:
             return 0
         coded = cut(self._encoded(fresh, self.codec()), "encoded")
         codes = F.col("codes") if posting_mode == "all_tokens" else F.slice("codes", 1, 1)
         delta = postings_of_lists(coded.select(F.col("doc_idx").alias("doc_id"), codes.alias("codes")))
-        replace = {}
+        replace, append = {}, {"docs": coded, "postings_delta": delta}
         if self.store.has("metadata"):
             current = self.store.table("metadata")
-            replace["metadata"] = cut(meta.appended(current, list(metadata) if metadata is not None else [{} for _ in range(n)]), "metadata")
+            first = meta.next_key(current)
+            if metadata is None:  # rows without values: only their numbers are written
+                append["metadata"] = self.spark.range(first, first + n).select(F.col("id").alias(meta.KEY))
+            elif isinstance(metadata, DataFrame):
+                replace["metadata"] = cut(meta.appended(current, metadata), "metadata")
+            else:
+                rows = meta.from_rows(self.spark, list(metadata), first, current.schema)
+                known = all(current.schema[c].dataType == rows.schema[c].dataType for c in rows.columns if c in current.columns)
+                if known:
+                    append["metadata"] = rows
+                else:  # a column without a value so far takes a type
+                    replace["metadata"] = cut(meta.extended(current, rows), "metadata")
         pending = self.facts["pending"] + n
-        self.store.commit(replace=replace, append={"docs": coded, "postings_delta": delta}, facts={"pending": pending} | (facts or {}), partition_by={"docs": "chunk"})
+        self.store.commit(replace=replace, append=append, facts={"pending": pending} | (facts or {}))
         if needs_compaction(base + n - pending, pending):
             self.compact()
+        elif max(self.store.parts(t) for t in ("docs", "metadata", "postings_delta")) > PARTS:
+            self.merge()
         return n
 
+    def merge(self) -> None:
+        """Write every table of many parts as one, so that a stream of small batches doesn't leave a part a batch."""
+        self.store.commit(replace={t: self.store.table(t) for t in ("docs", "metadata", "postings_delta") if self.store.parts(t) > 1})
+
     def compact(self) -> None:
-        """Merge the delta into the postings."""
+        """Merge the delta into the postings, and the parts of documents and metadata."""
         if not self.store.has("postings_delta"):
             return
         both = self.store.table("postings").unionByName(self.store.table("postings_delta")).distinct()
-        self.store.commit(replace={"postings": both.repartition("cid").sortWithinPartitions("cid", "doc_id")}, drop=("postings_delta",), facts={"pending": 0})
+        merged = {t: self.store.table(t) for t in ("docs", "metadata") if self.store.parts(t) > 1}
+        self.store.commit(replace=merged | {"postings": both.repartition("cid").sortWithinPartitions("cid", "doc_id")}, drop=("postings_delta",), facts={"pending": 0})
 
-    def delete(self, subset: int | Iterable[int]) -> int:
-        """Remove documents by position and number the rest anew, vectors and metadata in one commit; returns how many went."""
-        ids = meta.ids_of(subset, ordered=True)
-        if not ids:
-            return 0
+    def delete(self, subset: int | Iterable[int] | DataFrame) -> int:
+        """Remove documents by position, of a list or of the first column of a table, and number the rest anew, vectors and metadata in one commit; returns how many went."""
+        if isinstance(subset, DataFrame):
+            gone = subset.select(F.col(subset.columns[0]).cast("long").alias("doc_idx")).where("doc_idx is not null").distinct()
+        else:
+            ids = meta.ids_of(subset, ordered=True)
+            if not ids:
+                return 0
+            gone = meta.id_frame(self.spark, ids, "doc_idx")
         old = self.store.table("docs")
-        gone = meta.id_frame(self.spark, ids, "doc_idx")
         left = cut(renumbered(old.join(gone, "doc_idx", "left_anti"), ["doc_idx"], "doc_idx").withColumn("chunk", F.floor(F.col("doc_idx") / CHUNK)), "left")
         tables = {"docs": left, "postings": postings_of_lists(left.select(F.col("doc_idx").alias("doc_id"), "codes"))}
         if self.store.has("metadata"):
-            tables["metadata"] = cut(meta.deleted(self.store.table("metadata"), ids), "metadata")
+            tables["metadata"] = cut(meta.deleted(self.store.table("metadata"), gone.withColumnRenamed("doc_idx", meta.KEY)), "metadata")
         n = old.count() - left.count()
-        self.store.commit(replace=tables, drop=("postings_delta",), facts={"pending": 0}, partition_by={"docs": "chunk"})
+        self.store.commit(replace=tables, drop=("postings_delta",), facts={"pending": 0})
         return n
 
     # searching

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .maxsim import similarity_matrix
+from .maxsim import nearest_axes
 
 
 def postings(codes: DataFrame, mode: str = "all_tokens") -> DataFrame:
@@ -32,9 +32,7 @@ def clamped_probes(probes: int, clusters: int) -> int:
 
 def probed(queries: DataFrame, centroids: DataFrame, probes: int) -> DataFrame:
     """(query_id, qpos, cid, score): of every query token the best clusters by dot product; equal ones by the smaller id."""
-    matrix = similarity_matrix(queries, centroids)
-    ranked = matrix.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "qpos").orderBy(F.desc("score"), F.asc("cid"))))
-    return ranked.where(F.col("r") <= probes).select("query_id", "qpos", "cid", "score")
+    return nearest_axes(queries, centroids, probes)
 
 
 def candidates(probes: DataFrame, lists: DataFrame, delta: DataFrame | None = None, subset: DataFrame | None = None) -> DataFrame:

@@ -143,6 +143,27 @@ def similarity_matrix(tokens: DataFrame, axes: DataFrame, key: str = "cid") -> D
     return tokens.select(F.col("query_id").cast("long"), F.col("qpos").cast("long"), "vec").mapInArrow(run, f"query_id long, qpos long, {key} long, score double")
 
 
+def nearest_axes(tokens: DataFrame, axes: DataFrame, k: int, key: str = "cid") -> DataFrame:
+    """(query_id, qpos, key, score): of every query token the ``k`` rows of ``axes`` with the largest dot products, rounded to 6 decimals; equal ones by the smaller id. Only these rows leave the task."""
+    ids, matrix = collect_matrix(axes, key)
+    shared = tokens.sparkSession.sparkContext.broadcast((ids, matrix))
+    k = min(k, len(ids))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, matrix = shared.value
+        for batch in batches:
+            x = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+            step = max(1, CELLS // max(1, len(ids)))
+            for start in range(0, batch.num_rows if k else 0, step):
+                dots = np.round(x[start : start + step] @ matrix.T, 6)
+                order = np.rint(dots * 1e6).astype(np.int64) * len(ids) - np.arange(len(ids))  # no two are equal
+                top = np.argpartition(-order, k - 1, axis=1)[:, :k]
+                rows = pa.array(np.repeat(np.arange(start, start + len(dots)), k), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(ids[top.ravel()]), pa.array(np.take_along_axis(dots, top, 1).ravel())], names=["query_id", "qpos", key, "score"])
+
+    return tokens.select(F.col("query_id").cast("long"), F.col("qpos").cast("long"), "vec").mapInArrow(run, f"query_id long, qpos long, {key} long, score double")
+
+
 #: Bytes of a codebook that travel with a task.
 MATRIX_BYTES = 256 << 20
 

@@ -10,6 +10,7 @@ import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 class Store:
@@ -33,45 +34,58 @@ class Store:
         found = self.versions()
         if not found:
             raise FileNotFoundError(f"there is no index at {self.path}")
-        rows = self.spark.read.text(f"{self.path}/manifest-{version or found[-1]:09d}.json", wholetext=True).collect()
-        return json.loads(rows[0][0])
+        stream = self._fs.open(self._path(f"{self.path}/manifest-{version or found[-1]:09d}.json"))
+        try:
+            return json.loads(bytes(self._bytes(stream)).decode())
+        finally:
+            stream.close()
+
+    def _bytes(self, stream) -> bytes:
+        return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)
 
     def table(self, name: str, version: int | None = None) -> DataFrame:
-        tables = self.manifest(version)["tables"]
-        if name not in tables:
+        """A table of the version; parts of one schema are read at once, whatever their number."""
+        manifest = self.manifest(version)
+        if name not in manifest["tables"]:
             raise FileNotFoundError(f"there is no table {name} at {self.path}")
-        parts = [self.spark.read.parquet(f"{self.path}/{p}") for p in tables[name]]
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionByName(part, allowMissingColumns=True)
+        groups: dict[str, list[str]] = {}
+        for part in manifest["tables"][name]:
+            groups.setdefault(manifest["schemas"][part], []).append(f"{self.path}/{part}")
+        out = None
+        for schema, paths in groups.items():
+            read = self.spark.read.schema(T.StructType.fromJson(json.loads(schema))).parquet(*paths)
+            out = read if out is None else out.unionByName(read, allowMissingColumns=True)
         return out
 
+    def parts(self, name: str) -> int:
+        """The number of written parts of a table; 0 if there is none."""
+        return len(self.manifest()["tables"].get(name, [])) if self.exists else 0
+
     def has(self, name: str) -> bool:
         return self.exists and name in self.manifest()["tables"]
 
-    def commit(self, replace: dict[str, DataFrame] | None = None, append: dict[str, DataFrame] | None = None, drop: tuple[str, ...] = (), facts: dict | None = None, partition_by: dict[str, str] | None = None) -> int:
+    def commit(self, replace: dict[str, DataFrame] | None = None, append: dict[str, DataFrame] | None = None, drop: tuple[str, ...] = (), facts: dict | None = None) -> int:
         """Write tables and a manifest; tables that aren't named stay as they are. Returns the version."""
-        before = self.manifest() if self.exists else {"tables": {}, "facts": {}}
+        before = self.manifest() if self.exists else {"tables": {}, "facts": {}, "schemas": {}}
+        schemas = dict(before["schemas"])
         tables = {k: list(v) for k, v in before["tables"].items() if k not in drop}
         for how, frames in (("replace", replace or {}), ("append", append or {})):
             for name, df in frames.items():
                 part = f"{name}-{uuid.uuid4().hex}"
-                writer = df.write
-                if partition_by and name in partition_by:
-                    writer = writer.partitionBy(partition_by[name])
-                writer.parquet(f"{self.path}/{part}")
+                df.write.parquet(f"{self.path}/{part}")
+                schemas[part] = df.schema.json()
                 tables[name] = [part] if how == "replace" else [*tables.get(name, []), part]
         version = (self.versions() or [0])[-1] + 1
-        body = json.dumps({"version": version, "tables": tables, "facts": before["facts"] | (facts or {})})
+        named = {part for parts in tables.values() for part in parts}
+        body = json.dumps({"version": version, "tables": tables, "schemas": {k: v for k, v in schemas.items() if k in named}, "facts": before["facts"] | (facts or {})})
         place = self._path(f"{self.path}/manifest-{version:09d}.json")
-        draft = self._path(f"{self.path}/.draft-{uuid.uuid4().hex}")
         self._fs.mkdirs(self._path(self.path))
-        out = self._fs.create(draft, True)
+        try:
+            out = self._fs.create(place, False)  # fails if another commit has written this version
+        except Exception as e:
+            raise RuntimeError("another commit came first") from e
         out.write(body.encode())
         out.close()
-        if self._fs.exists(place) or not self._fs.rename(draft, place):
-            self._fs.delete(draft, False)
-            raise RuntimeError("another commit came first")
         return version
 
     def clean(self, keep: int = 1) -> None:

@@ -526,8 +526,8 @@ prn AS (SELECT query_id, doc_id, approx, rank FROM (SELECT *, row_number() OVER
 
 def _approximate(spark, folder):
     c, found = _candidates(spark, folder)
-    matrix = maxsim.similarity_matrix(_search_queries(spark, folder), c)
-    return search.approximate(found, _postings(spark, folder, c), matrix)
+    coded = _coded(spark, folder, c).groupBy("doc_id").agg(F.collect_set("cid").alias("codes"))
+    return search.approximate(found, coded, _search_queries(spark, folder), maxsim.collect_matrix(c, "cid"))
 
 
 @query(f"WITH {_STAGED} SELECT query_id, doc_id, approx FROM approx")
