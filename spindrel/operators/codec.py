@@ -119,7 +119,7 @@ def train_centred(tokens: DataFrame, centroids: DataFrame) -> Codec:
     return Codec(matrix, cutoffs, weights, average, ids=ids)
 
 
-def train_plain(tokens: DataFrame, centroids: DataFrame, bits: int = 4, accuracy: int = 100_000) -> Codec:
+def train_plain(tokens: DataFrame, centroids: DataFrame, bits: int = 4, accuracy: int = 1_000_000) -> Codec:
     """The codec of pooled residuals: cutoffs at their quantiles i/2^bits, weights at (i + 0.5)/2^bits, codes by dot product.
 
     ``tokens`` are those held out for it. Quantiles are of a mergeable summary whose error is 1/accuracy of the ranks.

@@ -29,6 +29,9 @@ CHUNK, COMPACT_AT = 25_000, 10
 #: Parts of a table that updates may leave before they are merged.
 PARTS = 32
 
+#: Held-out tokens up to which the sample is drawn exactly, by an order that keeps so many a task.
+HELD = 1 << 16
+
 #: Tokens at most (those of smallest hash) whose residuals train the centred codec; each gives a row per dimension.
 CODEC_TOKENS = 1 << 20
 
@@ -84,8 +87,8 @@ class VectorIndex:
 
     # building
 
-    def create(self, docs: DataFrame, rounds: int = 4, bits: int = 4, centroids: int | None = None, codec: str = "centred", metadata: Sequence[dict] | DataFrame | None = None, per: int = 256, samples: int | None = None) -> VectorIndex:
-        """Train on ``docs`` (on the first ``samples`` of them, if given) and write a new version of the whole index, metadata included."""
+    def create(self, docs: DataFrame, rounds: int = 4, bits: int = 4, centroids: int | None = None, codec: str = "centred", metadata: Sequence[dict] | DataFrame | None = None, per: int = 256, samples: int | None = None, held_out: int | None = None) -> VectorIndex:
+        """Train on ``docs`` (on the first ``samples`` of them, if given; the plain codec on ``held_out`` tokens, 5 % and 50 000 at most by default) and write a new version of the whole index, metadata included."""
         docs = cut(numbered(docs), "docs")
         n = docs.count()
         if not n:
@@ -103,8 +106,9 @@ class VectorIndex:
         learnt = tokens if samples is None or samples >= n else cut(tokens.where(F.shiftright("t", 20) < samples), "sample")
         book = cut(train(learnt, max(1, want), rounds, normalise=codec == "plain", per=per), "book")
         if codec == "plain":
-            held = max(1, holdout_size(total))
-            trained = train_plain(_share(tokens, held, total), book, bits)
+            held = held_out or max(1, holdout_size(total))
+            chosen = tokens if held >= total else tokens.orderBy(F.xxhash64("t"), "t").limit(held) if held <= HELD else _share(tokens, held, total)
+            trained = train_plain(chosen, book, bits)
         else:
             trained = train_centred(tokens if total <= CODEC_TOKENS else cut(_share(tokens, CODEC_TOKENS, total), "sample"), book)
         self._write(docs, trained, metadata, dim)

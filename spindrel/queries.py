@@ -619,8 +619,11 @@ def index_delete_renumber(spark, folder):
     return renumbered(left.withColumn("doc_idx", F.col("doc_id")), ["doc_id"], "doc_idx")
 
 
-@query(f"""WITH {_TOK}, d AS (SELECT doc_id, count(*) AS n, bool_or(pos = 0 AND label >= 8) AS late FROM tok GROUP BY doc_id), b AS (SELECT count(*) AS n FROM d WHERE NOT late)
-SELECT CASE WHEN late THEN (SELECT n FROM b) ELSE 0 END + row_number() OVER (PARTITION BY late ORDER BY doc_id) - 1 AS doc_idx, doc_id, n::INTEGER AS n_tokens FROM d""")
+_APPENDED = f"""WITH {_TOK}, d AS (SELECT doc_id, count(*) AS n, bool_or(pos = 0 AND label >= 8) AS late FROM tok GROUP BY doc_id), b AS (SELECT count(*) AS n FROM d WHERE NOT late)
+SELECT CASE WHEN late THEN (SELECT n FROM b) ELSE 0 END + row_number() OVER (PARTITION BY late ORDER BY doc_id) - 1 AS doc_idx, doc_id, n::INTEGER AS n_tokens FROM d"""
+
+
+@query(_APPENDED)
 def index_update_append(spark, folder):
     docs = _docs(spark, folder)
     late = _tokens(spark, folder).where("pos = 0 and label >= 8").select("doc_id")
@@ -735,7 +738,8 @@ def compression_stats(spark, folder):
     return s.select("tokens", *(c.alias(n) for n, c in statistics.compression_statistics(F.col("tokens"), DIM).items()))
 
 
-@query()
+@query(f"""WITH {_DOTS}, t AS ({_top('score')})
+SELECT query_id, '{{"query_id":' || query_id || ',"passage_ids":[' || string_agg(doc_id::VARCHAR, ',' ORDER BY rank) || '],"scores":[' || string_agg(score::VARCHAR, ',' ORDER BY rank) || ']}}' AS json FROM t GROUP BY query_id""")
 def result_json(spark, folder):
     return records.results_as_json(maxsim.search_exact(_docs(spark, folder), _search_queries(spark, folder), DIM, TOP))
 
@@ -757,7 +761,7 @@ def index_file_roundtrip(spark, folder):
     return rows.select("doc_id", F.array_join(F.col("codes").cast("array<string>"), " ").alias("codes"), F.hex("residuals").alias("residuals"), "n_tokens")
 
 
-@query()
+@query(_APPENDED)
 def streaming_incremental_add(spark, folder):
     place = scratch(spark)
     docs = _docs(spark, folder)
@@ -768,3 +772,6 @@ def streaming_incremental_add(spark, folder):
     stream = add_stream(index, spark.readStream.schema(schema).parquet(f"{place}/arriving"), f"{place}/checkpoint")
     stream.awaitTermination()
     return index.store.table("docs").select("doc_idx", "doc_id", "n_tokens")
+
+
+from . import queries_index  # noqa: E402, F401  registers its queries

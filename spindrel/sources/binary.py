@@ -57,8 +57,16 @@ def parse_uniform_embeddings(raw: bytes) -> tuple[int, list[np.ndarray]]:
     return dim, list(r.take("f4", n * tokens * dim).reshape(n, tokens, dim))
 
 
-def embedding_blobs(docs: DataFrame, dim: int, per: int = 4096) -> DataFrame:
-    """(path, content): packed documents (doc_id, flat) as files of ``per`` documents at most, each made in one task.
+def write_uniform_embeddings(docs: list[np.ndarray]) -> bytes:
+    """Documents of one length, which are written without a count of their own."""
+    shape = docs[0].shape if docs else (0, 0)
+    if any(d.shape != shape for d in docs):
+        raise ValueError("the documents must have equally many tokens")
+    return struct.pack("<iii", len(docs), *shape) + b"".join(d.astype("<f4").tobytes() for d in docs)
+
+
+def embedding_blobs(docs: DataFrame, dim: int, per: int = 4096, uniform: bool = False) -> DataFrame:
+    """(path, content): packed documents (doc_id, flat) as files of ``per`` documents at most, each made in one task. ``uniform``: in the layout of documents of one length.
 
     A file's documents are in the order of their ids, which the path tells apart by the first of them.
     """
@@ -68,7 +76,7 @@ def embedding_blobs(docs: DataFrame, dim: int, per: int = 4096) -> DataFrame:
             frame = frame.sort_values("doc_id")
             for start in range(0, len(frame), per):
                 part = frame.iloc[start : start + per]
-                content = write_embeddings([np.asarray(x, np.float32).reshape(-1, dim) for x in part["flat"]])
+                content = (write_uniform_embeddings if uniform else write_embeddings)([np.asarray(x, np.float32).reshape(-1, dim) for x in part["flat"]])
                 yield pd.DataFrame({"path": [f"embeddings-{part['doc_id'].iloc[0]}.bin"], "content": [content], "ids": [part["doc_id"].to_numpy()]})
 
     return docs.where("flat is not null").select(F.col("doc_id").cast("long"), "flat").mapInPandas(run, "path string, content binary, ids array<long>")
@@ -165,6 +173,32 @@ def parse_minmax_index(raw: bytes) -> dict:
     return out
 
 
+def write_minmax_index(low: np.ndarray, high: np.ndarray, docs: list[np.ndarray]) -> bytes:
+    """The older 4-bit index of documents (tokens, dim), in one cluster that lists them all: levels of 0 to 15 between the least and largest value per dimension."""
+    ends = np.cumsum([0, *(len(d) for d in docs)])
+    tokens = np.concatenate(docs) if docs else np.zeros((0, len(low)))
+    levels = np.floor((tokens - low) / np.where(high > low, high - low, 1) * 15).astype(np.uint8).ravel()
+    levels = np.pad(levels, (0, len(levels) % 2))
+    lists = struct.pack("<I", len(docs)) + np.arange(len(docs), dtype="<u4").tobytes()
+    head = struct.pack("<IIII", len(tokens), len(low), len(docs), 1) + low.astype("<f4").tobytes() + high.astype("<f4").tobytes() + ends.astype("<u4").tobytes()
+    return head + np.zeros(len(low), "<f4").tobytes() + np.zeros(len(docs), "<u2").tobytes() + lists + (levels[::2] | levels[1::2] << 4).tobytes()
+
+
+def minmax_blobs(docs: DataFrame, ends: DataFrame, dim: int, per: int = 25_000) -> DataFrame:
+    """(path, content, ids): packed documents (doc_id, flat) as older 4-bit files; ``ends`` (d, low, high) has a row per dimension."""
+    rows = {r["d"]: r for r in ends.collect()}
+    low, high = (np.array([rows[d][c] for d in range(dim)]) for c in ("low", "high"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            for start in range(0, len(frame), per):
+                part = frame.iloc[start : start + per].sort_values("doc_id")
+                content = write_minmax_index(low, high, [np.asarray(x, np.float64).reshape(-1, dim) for x in part["flat"]])
+                yield pd.DataFrame({"path": [f"minmax-{part['doc_id'].iloc[0]}.bin"], "content": [content], "ids": [part["doc_id"].to_numpy()]})
+
+    return docs.where("flat is not null").select(F.col("doc_id").cast("long"), "flat").mapInPandas(run, "path string, content binary, ids array<long>")
+
+
 def index_blobs(encoded: DataFrame, codec: Codec, per: int = 25_000) -> DataFrame:
     """(path, content): encoded documents (doc_id, codes, residuals, n_tokens) as index files of about ``per`` documents.
 
@@ -220,12 +254,17 @@ def read_index_postings(spark: SparkSession, path: str) -> DataFrame:
     return _parsed(_stored(spark, path), parse, "path string, cid long, doc_id long")
 
 
-def read_minmax_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(path, doc_id, label, flat) of older index files, by the boundaries of their token stream."""
+def minmax_documents_of(files: DataFrame) -> DataFrame:
+    """(path, doc_id, label, flat) of older index files (path, content), by the boundaries of their token stream."""
 
     def parse(path: str, raw: bytes) -> pd.DataFrame:
         x = parse_minmax_index(raw)
         ends = x["boundaries"]
         return pd.DataFrame([(path, i, int(x["labels"][i]), x["vectors"][a:b].ravel()) for i, (a, b) in enumerate(zip(ends, ends[1:]))], columns=["path", "doc_id", "label", "flat"])
 
-    return _parsed(_stored(spark, path), parse, "path string, doc_id long, label int, flat array<double>")
+    return _parsed(files, parse, "path string, doc_id long, label int, flat array<double>")
+
+
+def read_minmax_documents(spark: SparkSession, path: str) -> DataFrame:
+    """``minmax_documents_of`` stored files."""
+    return minmax_documents_of(_stored(spark, path))
