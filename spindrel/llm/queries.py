@@ -141,6 +141,18 @@ def oracle_sql() -> dict[str, str]:
         "p3_found": f"""WITH RECURSIVE {_P3_LINKS}
             SELECT cluster AS id_a, id AS id_b FROM labels WHERE id <> cluster
             AND cluster IN (SELECT cluster FROM labels GROUP BY cluster HAVING count(*) >= 3)""",
+        "p3_clusters": f"""WITH RECURSIVE {_P3_LINKS},
+            held AS (SELECT cluster, l.id, v, count(*) OVER (PARTITION BY cluster) AS n FROM labels l JOIN vectors USING (id)),
+            typical AS (SELECT a.cluster, a.n AS size, a.id, round(sum(list_dot_product(a.v, b.v)) / any_value(a.n - 1), 6) AS affinity FROM held a JOIN held b ON a.cluster = b.cluster AND a.id <> b.id WHERE a.n >= 3 GROUP BY ALL),
+            ranked AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY affinity DESC, id) AS rank FROM typical)
+            SELECT cluster, size, rank::INTEGER AS rank, id, affinity FROM ranked WHERE rank <= 3""",
+        "p1_groups": f"""WITH RECURSIVE {_P1_WORDS},
+            classes AS (SELECT list_sort(words) AS sig, min(id) AS rep FROM records WHERE len(words) > 0 GROUP BY 1),
+            members AS (SELECT id, rep FROM records JOIN classes ON list_sort(words) = sig),
+            links AS (SELECT id_a AS a, id_b AS b FROM found WHERE id_a IN (SELECT rep FROM classes) AND id_b IN (SELECT rep FROM classes)),
+            sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+            reach(a, b) AS (SELECT rep, rep FROM classes UNION SELECT r.a, l.b FROM reach r JOIN sides l ON l.a = r.b)
+            SELECT id, rep AS class_id, (SELECT min(b) FROM reach WHERE a = rep) AS group_id, (SELECT count(*) FROM sides WHERE a = rep) AS links FROM members""",
         "p5_found": f"""WITH {_P5}, ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id) AS r FROM best)
             SELECT query_id, passage_id FROM ranked WHERE r <= 10""",
     }

@@ -4,14 +4,20 @@ Similar pairs make a sparse graph. Its affinities are normalised to a random wal
 several random vectors are multiplied by it again and again, until a vertex and its
 neighbours have the same coordinates. Vertices are then clustered by k-means in these
 coordinates, started from the cells of a grid; an exact check joins clusters that a
-similar pair connects.
+similar pair still connects, where the walk hasn't settled.
+
+The vectors start with Cauchy values: a mean of any number of them, and so what a
+component settles at, is spread like a single one. Large components thus stay as far
+apart as small ones.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
@@ -117,49 +123,56 @@ def affinities(vectors: DataFrame, least: float = 0.85, k: int = 8, ways: int =
     return found.unionByName(missing).groupBy("a", "b").agg(F.max("w").alias("w"))
 
 
+def cauchy(key: str, j: int) -> Column:
+    """The j-th start value of a vertex: Cauchy, by its hash."""
+    share = (F.xxhash64(key, F.lit(j)).bitwiseAND((1 << 52) - 1) + F.lit(0.5)) / F.lit(float(1 << 52))
+    return F.tan((share - F.lit(0.5)) * F.lit(math.pi))
+
+
 def embed(edges: DataFrame, vectors: int = VECTORS, iterations: int = ITERATIONS, near: float = NEAR) -> DataFrame:
     """(id, x): coordinates of every vertex after power iteration on the normalised affinities of (a, b, w).
 
     A vertex keeps half its value in a step (an edge to itself), which makes the walk converge on any graph. A step is
     one join and one aggregation over the edges, combined before the shuffle, and names the state once, so that plans
-    grow by a step and no more. It ends early when no edge is longer than ``near``.
+    grow by a step and no more. It ends early when no edge is longer than ``near``. Coordinates are the values' inverse
+    hyperbolic sines, which measure large values by their ratio.
     """
     both = edges.select("a", "b", "w").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
     degree = both.groupBy("a").agg(F.sum("w").alias("d"))
     steps = both.join(degree, "a").select(F.col("a").alias("id"), F.col("b").alias("src"), (F.col("w") / F.col("d") / 2).alias("p"))
     walk = cut(steps.unionByName(degree.select(F.col("a").alias("id"), F.col("a").alias("src"), F.lit(0.5).alias("p"))), "walk")
     names = [f"x{j}" for j in range(vectors)]
-    start = [((F.xxhash64("src", F.lit(j)).bitwiseAND((1 << 52) - 1)) / F.lit(float(1 << 52))).alias(x) for j, x in enumerate(names)]
-    state = walk.where("id = src").select("src", *start)
+    state = walk.where("id = src").select("src", *(cauchy("src", j).alias(x) for j, x in enumerate(names)))
     for step in range(1, iterations + 1):
         state = walk.join(state, "src").groupBy("id").agg(*(F.sum(F.col("p") * F.col(x)).alias(x) for x in names)).withColumnRenamed("id", "src")
         if step % 4 == 0:
             state = cut(state, "state")
         if step % 8 == 0:
             ends = walk.join(state, "src").groupBy("id").agg(*(F.max(x).alias(f"{x}_") for x in names), *(F.min(x).alias(x) for x in names))
-            longest = ends.agg(F.max(F.greatest(*(F.col(f"{x}_") - F.col(x) for x in names)))).first()[0]
+            longest = ends.agg(F.max(F.greatest(*(F.asinh(f"{x}_") - F.asinh(x) for x in names)))).first()[0]
             if longest is None or longest < near:
                 break
-    return state.select(F.col("src").alias("id"), F.array(*names).alias("x"))
+    return state.select(F.col("src").alias("id"), F.array(*(F.asinh(x) for x in names)).alias("x"))
 
 
-def k_means(points: DataFrame, near: float = NEAR) -> DataFrame:
+def k_means(points: DataFrame, near: float = NEAR, rounds: int = 2) -> DataFrame:
     """(id, cell): k-means of (id, x) whose centres start from the cells of a grid, one per cell.
 
     The grid is as wide as ten times what still separates neighbours, so the centres of two cells are no nearer than
-    that but at a border. A Lloyd step moves each centre to the mean of its points; a point whose first coordinate lies
-    next to a border goes to the nearer of the centres on both sides. The number of clusters isn't given and may grow
+    that but at a border. A Lloyd round moves each centre to the mean of its points; a point then goes to the nearest of
+    the centres of its cluster and of the cells beside it. The number of clusters isn't given and may grow
     with the data, so centres are joined by cell and never gathered.
     """
     wide = near * 10
-    cell = F.transform("x", lambda v: F.floor(v / F.lit(wide)))
-    placed = points.withColumn("cell", F.xxhash64(cell))
-    flat = placed.select("cell", F.posexplode("x").alias("j", "v")).groupBy("cell", "j").agg(F.avg("v").alias("v"))
-    centres = flat.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("j", "v"))).alias("c")).select("cell", F.transform("c", lambda e: e["v"]).alias("c"))
     beside = lambda up: F.xxhash64(F.transform("x", lambda v, j: F.floor(v / F.lit(wide)) + F.when(j == 0, F.lit(up)).otherwise(F.lit(0))))
-    tries = placed.select("id", "x", F.explode(F.array("cell", beside(-1), beside(1))).alias("cell"))
+    placed = points.select("id", "x", beside(0).alias("cell"))
     off = F.aggregate(F.zip_with("x", "c", lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, v: s + v)
-    return tries.join(centres, "cell").groupBy("id").agg(F.min_by("cell", F.struct(off.alias("o"), "cell")).alias("cell"))
+    for _ in range(rounds):
+        flat = placed.select("cell", F.posexplode("x").alias("j", "v")).groupBy("cell", "j").agg(F.avg("v").alias("v"))
+        centres = flat.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("j", "v"))).alias("c")).select("cell", F.transform("c", lambda e: e["v"]).alias("c"))
+        tries = placed.select("id", "x", F.explode(F.array_distinct(F.array("cell", beside(0), beside(-1), beside(1)))).alias("cell"))
+        placed = cut(tries.join(centres, "cell").groupBy("id").agg(F.first("x").alias("x"), F.min_by("cell", F.struct(off.alias("o"), "cell")).alias("cell")), "means")
+    return placed.select("id", "cell")
 
 
 class Clusters:
@@ -176,11 +189,15 @@ class Clusters:
         self.members = cut(keyed.select("id", "h", "g").join(classes.select("h", "g", "rep"), ["h", "g"]).select("id", "rep"), "members")
         self.edges = cut(affinities(cut(classes.select(F.col("rep").alias("id"), F.col("v").alias("vec")), "vertices"), least, ways=ways), "affinities")
 
+    def spectral(self, iterations: int = ITERATIONS) -> DataFrame:
+        """(id, name): the vertices with a similar one, by the clusters of k-means in the coordinates that the walk settles at; named by their smallest id."""
+        cells = k_means(embed(self.edges, iterations=iterations))
+        named = cells.groupBy("cell").agg(F.min("id").alias("name"))
+        return cells.join(named, "cell").select("id", "name")
+
     def labels(self) -> DataFrame:
         """(id, cluster): every document with the smallest id of its cluster; itself if it is similar to none."""
-        cells = cut(k_means(embed(self.edges)), "cells")
-        named = cells.groupBy("cell").agg(F.min("id").alias("name"))
-        spectral = cut(cells.join(named, "cell").select("id", "name"), "spectral")
+        spectral = cut(self.spectral(), "spectral")
         # exact check: clusters that a similar pair connects are one; where the walk has settled, there are none
         ends = self.edges.join(spectral.select(F.col("id").alias("a"), F.col("name").alias("u")), "a").join(spectral.select(F.col("id").alias("b"), F.col("name").alias("v")), "b")
         joined = components(ends.where("u <> v").select("u", "v"), "u", "v").select(F.col("node").alias("name"), F.col("component"))

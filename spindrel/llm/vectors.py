@@ -151,8 +151,8 @@ def routed(vectors: DataFrame, axes: np.ndarray, ways: int, block: int = 16_384)
     large = {r["axis"]: math.ceil(r["n"] / block) for r in ways_of.groupBy("axis").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).collect()}  # a row per direction at most
     if not large:
         return ways_of.select("axis", F.lit(0).alias("qb"), F.lit(0).alias("ob"), F.lit(True).alias("query"), F.lit(True).alias("object"), "id", "vec")
-    blocks = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in large.items() for x in kv]), F.col("axis")), F.lit(1))
-    own = ways_of.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    many = spark.createDataFrame(list(large.items()), "axis int, blocks int")
+    own = ways_of.join(F.broadcast(many), "axis", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     same = own.select("axis", F.col("own").alias("qb"), F.col("own").alias("ob"), F.lit(True).alias("query"), F.lit(True).alias("object"), "id", "vec")
     more = own.where("blocks > 1").withColumn("b", other).where("b <> own")

@@ -3,11 +3,11 @@
 A fingerprint has a bit per random projection of the record's word counts: whether it
 lies above the mean of all records (so that words which all records share don't
 count). It is cut into segments, each with a table of its own. A record looks up the
-small Hamming ball round each of its segments; what it meets is verified by a complete
-Hamming distance, then by the words themselves. That distance is of parity bits: each
-word flips one, so two records differ in no more bits than they differ in words, and
-nothing that shares enough words is lost by it. Records of equal words are one class,
-whose least id stands for it.
+small Hamming ball round each of its segments; what it meets is verified by the complete
+Hamming distance of the fingerprints, then by the words themselves. Segments are as
+wide as the number of records asks for, so that a key is shared by few unrelated ones
+at every size, and there are the more of them, the wider they are, so that like records
+still meet. Records of equal words are one class, whose least id stands for it.
 """
 
 from __future__ import annotations
@@ -27,8 +27,17 @@ from ..plans.lineage import cut
 from ..plans.spread import spread
 from .graph import components
 
-#: Segments of so many bits each; the bits of each nearest to the mean, whose pairs are flipped too; parity bits.
-SEGMENTS, BITS, WEAK, PARITY = 20, 17, 5, 384
+#: Least bits of a segment, and segments of so many bits; the bits of each nearest to the mean, whose pairs are flipped too.
+BITS, SEGMENTS, WEAK = 17, 20, 5
+
+#: Segments more for a bit more, as a factor: what a record shares with its version in a segment becomes rarer with its width.
+MORE = 1.22
+
+#: Share of the fingerprint's bits in which records may differ that share 75 % of their words, with room for chance.
+DIFFER = 0.34
+
+#: The same for the fingerprint's first 128 bits, which go with the table entries so that fewer pairs leave a table.
+FIRST = 50
 
 #: Records that the mean is weighed against.
 FEW = 64
@@ -71,105 +80,109 @@ def _lists(values: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, values.shape[1]), pa.int32()), pa.array(values.ravel(), kind), type=pa.list_(pa.field("element", kind, False)))
 
 
-def _numbered(flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A number for each word of the sorted lists and its place among the equal words of its list."""
-    first = np.ones(len(flat), bool)
-    first[1:] = flat[1:] != flat[:-1]
-    first[ends[:-1]] = True
-    place = np.arange(len(flat)) - np.maximum.accumulate(np.where(first, np.arange(len(flat)), 0))
-    with np.errstate(over="ignore"):
-        z = (flat.view(np.uint64) ^ (place.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))) * np.uint64(0x9E3779B97F4A7C15)
-    return np.where(place == 0, flat, (z ^ (z >> np.uint64(29))).view(np.int64))
+def layout(n: int) -> tuple[int, int]:
+    """(segments, bits) for ``n`` classes: keys have about 2 n values, so that a table key is shared by few unrelated classes, whatever their number."""
+    bits = max(BITS, math.ceil(math.log2(max(2, n))) + 1)
+    return math.ceil(SEGMENTS * MORE ** (bits - BITS)), bits
 
 
 _LONGS = T.ArrayType(T.LongType(), False)
 
 
-def projections(classes: DataFrame) -> DataFrame:
-    """(rep, n, sums, parity, nth) of (rep, words), words being sorted hashes.
-
-    sums has the projections, parity the bits that words flip, as longs; nth a number for every word and how often the
-    record had it before, so that shared numbers are shared words, repeats included.
-    """
-    bits = SEGMENTS * BITS
-    out = T.StructType([T.StructField("rep", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("sums", T.ArrayType(T.IntegerType(), False)), T.StructField("parity", _LONGS), T.StructField("nth", _LONGS)])
+def projections(classes: DataFrame, bits: int) -> DataFrame:
+    """(rep, n, sums) of (rep, words), words being sorted hashes: the number of words and their sums of random signs."""
+    out = T.StructType([T.StructField("rep", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("sums", T.ArrayType(T.ShortType(), False))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
                 n_words = pc.list_value_length(part.column(1))
-                lengths = n_words.to_numpy(zero_copy_only=False)
-                numbers = _numbered(part.column(1).flatten().to_numpy(zero_copy_only=False), np.cumsum(lengths))
-                flips = np.repeat(np.arange(part.num_rows), lengths) * PARITY + (numbers.view(np.uint64) >> np.uint64(11)).astype(np.int64) % PARITY
-                odd = (np.bincount(flips, minlength=part.num_rows * PARITY) & 1).astype(np.uint8).reshape(part.num_rows, PARITY)
-                nth = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(numbers), type=pa.list_(pa.field("element", pa.int64(), False)))
-                sums = _lists(_projected(part.column(1), lengths, bits), pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column(0), n_words, sums, _lists(np.packbits(odd, axis=1).view(np.int64), pa.int64()), nth], names=out.names)
+                sums = _projected(part.column(1), n_words.to_numpy(zero_copy_only=False), bits)
+                # the direction alone counts: long records' sums are scaled to fit
+                scale = np.maximum(np.abs(sums).max(1, keepdims=True) / 32_000, 1)
+                yield pa.RecordBatch.from_arrays([part.column(0), n_words, _lists(np.rint(sums / scale).astype(np.int16), pa.int16())], names=out.names)
 
     return classes.select("rep", "words").mapInArrow(run, out)
 
 
-def fingerprints(projected: DataFrame) -> DataFrame:
-    """(rep, n, parity, keys, weak) of ``projections``: keys has the segments of the bits above the mean of all records,
-    each with its number in front, weak the masks of the bits nearest to the mean, segment by segment."""
-    bits = SEGMENTS * BITS
+def fingerprints(projected: DataFrame, segments: int, bits: int) -> DataFrame:
+    """(rep, n, print, keys, weak) of ``projections``: print has the bits above the mean of all records, as longs, keys its
+    segments, each with its number in front, weak the masks of the bits nearest to the mean, segment by segment."""
+    width = segments * bits
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, count = np.zeros(bits), 0
+        sums, count = np.zeros(width), 0
         for batch in batches:
             if batch.num_rows:
-                sums += _unit(batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, bits)).sum(0)
+                sums += _unit(batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width)).sum(0)
                 count += batch.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(bits + 1), pa.int32()), pa.array([*sums, float(count)])], names=["bit", "s"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width + 1), pa.int32()), pa.array([*sums, float(count)])], names=["bit", "s"])
 
     summed = projected.select("sums").mapInArrow(totals, "bit int, s double").groupBy("bit").agg(F.sum("s").alias("s")).collect()  # a row per bit
     at = {r["bit"]: r["s"] for r in summed}
     # few records say little of the mean: it then counts for less
-    mean = np.array([at.get(b, 0.0) for b in range(bits)]) / (at.get(bits, 0.0) + FEW)
-    out = T.StructType([T.StructField("rep", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("parity", _LONGS), T.StructField("keys", _LONGS), T.StructField("weak", _LONGS)])
+    mean = np.array([at.get(b, 0.0) for b in range(width)]) / (at.get(width, 0.0) + FEW)
+    out = T.StructType([T.StructField("rep", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("print", _LONGS), T.StructField("keys", _LONGS), T.StructField("weak", _LONGS)])
+    padded = -(-width // 64) * 64
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        power = np.int64(1) << np.arange(BITS, dtype=np.int64)
+        power = np.int64(1) << np.arange(bits, dtype=np.int64)
         for batch in batches:
             for start in range(0, batch.num_rows, 2048):
                 part = batch.slice(start, 2048)
-                side = (_unit(part.column(3).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, bits)) - mean).reshape(part.num_rows, SEGMENTS, BITS)
-                keys = ((side > 0) * power).sum(2) + (np.arange(SEGMENTS, dtype=np.int64) << BITS)
+                side = (_unit(part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, width)) - mean).reshape(part.num_rows, segments, bits)
+                keys = ((side > 0) * power).sum(2) + (np.arange(segments, dtype=np.int64) << bits)
                 nearest = np.argpartition(np.abs(side), WEAK, axis=2)[:, :, :WEAK]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], _lists(keys, pa.int64()), _lists(power[nearest].reshape(part.num_rows, -1), pa.int64())], names=out.names)
+                whole = np.packbits(np.pad((side > 0).reshape(part.num_rows, width), ((0, 0), (0, padded - width))), axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], _lists(whole, pa.int64()), _lists(keys, pa.int64()), _lists(power[nearest].reshape(part.num_rows, -1), pa.int64())], names=out.names)
+
+    return projected.select("rep", "n", "sums").mapInArrow(prints, out)
 
-    return projected.select("rep", "n", "parity", "sums").mapInArrow(prints, out)
 
+def hamming_pairs(prints: DataFrame, segments: int, bits: int, share: float = 0.75) -> DataFrame:
+    """(a, b), a < b: classes that meet in a table, whose lengths allow them to share so many words, and whose fingerprints are near enough.
 
-def hamming_pairs(prints: DataFrame, share: float = 0.75) -> DataFrame:
-    """(a, b), a < b: classes that meet in a table, and whose lengths and complete distance allow them to share so many words."""
-    longs = PARITY // 64
-    names = [f"f{j}" for j in range(longs)]
-    segments = prints.select("rep", "n", *(F.col("parity")[j].alias(x) for j, x in enumerate(names)), "weak", F.posexplode("keys").alias("s", "segment"))
-    table = segments.select("rep", "n", *names, F.col("segment").alias("key"))
+    Keys, numbers of classes and the first bits of the fingerprints are shuffled for the tables; the pairs that are near by these are then joined with the whole ones.
+    """
+    head = ("f0", "f1")
+    parts = prints.select("rep", "n", "weak", *(F.col("print")[j].alias(c) for j, c in enumerate(head)), F.posexplode("keys").alias("s", "segment"))
+    table = parts.select("rep", "n", *head, F.col("segment").alias("key"))
     # the ball round a segment: itself, every bit that isn't set flipped (of two segments that differ in one bit, one
     # hasn't set it and finds the other), and every two of its bits nearest to the mean
     near_mean = F.slice("weak", F.col("s") * WEAK + 1, F.lit(WEAK))
     pairs = [F.col("m")[x].bitwiseXOR(F.col("m")[y]) for x, y in combinations(range(WEAK), 2)]
-    single = F.filter(F.array(*(F.lit(f).cast("long") for f in [0, *(1 << b for b in range(BITS))])), lambda f: F.col("segment").bitwiseAND(f) == 0)
+    single = F.filter(F.array(*(F.lit(f).cast("long") for f in [0, *(1 << b for b in range(bits))])), lambda f: F.col("segment").bitwiseAND(f) == 0)
     flips = F.concat(single, F.array(*pairs))
-    lookups = segments.withColumn("m", near_mean).select("rep", "n", *names, F.explode(F.transform(flips, lambda f: F.col("segment").bitwiseXOR(f))).alias("key"))
-    # keys that very many classes share are split into salted parts of the table, which every lookup of the key visits
-    hot = table.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT).select("key", F.ceil(F.col("c") / HOT).cast("int").alias("parts"))
-    hot = cut(hot, "hot")
+    lookups = parts.withColumn("m", near_mean).select("rep", "n", *head, F.explode(F.transform(flips, lambda f: F.col("segment").bitwiseXOR(f))).alias("key"))
+    # a key that very many classes share is split on both sides: every part of its lookups meets every part of its table
+    hot = cut(table.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT).select("key", F.ceil(F.col("c") / HOT).cast("int").alias("parts")), "hot")
     if hot.isEmpty():
-        table, lookups = table.withColumn("part", F.lit(0)), lookups.withColumn("part", F.lit(0))
+        on = ["key"]
     else:
-        parts = F.coalesce("parts", F.lit(1))
-        table = table.join(hot, "key", "left").withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int")).drop("parts")
-        lookups = lookups.join(hot, "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+        on = ["key", "tp", "lp"]
+        parts_ = F.coalesce("parts", F.lit(1))
+        own = lambda df, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), parts_).cast("int")
+        every = F.explode(F.sequence(F.lit(0), parts_ - 1))
+        table = table.join(hot, "key", "left").withColumn("tp", own(table, 1)).withColumn("lp", every).drop("parts")
+        lookups = lookups.join(hot, "key", "left").withColumn("lp", own(lookups, 2)).withColumn("tp", every).drop("parts")
     t, p = table.alias("t"), lookups.alias("p")
-    distance = sum((F.bit_count(F.col(f"t.f{j}").bitwiseXOR(F.col(f"p.f{j}"))) for j in range(longs)), F.lit(0))
     needed = F.lit(share) * F.greatest("t.n", "p.n")
-    near = (F.col("t.rep") != F.col("p.rep")) & (F.least("t.n", "p.n") >= needed) & (distance <= F.col("t.n") + F.col("p.n") - 2 * needed)
-    met = p.join(t.hint("shuffle_hash"), (F.col("t.key") == F.col("p.key")) & (F.col("t.part") == F.col("p.part")) & near)
-    return met.select(F.least("t.rep", "p.rep").alias("a"), F.greatest("t.rep", "p.rep").alias("b")).distinct()
+    fits = (F.col("t.rep") != F.col("p.rep")) & (F.least("t.n", "p.n") >= needed)
+    match = fits & (sum((F.bit_count(F.col(f"t.{c}").bitwiseXOR(F.col(f"p.{c}"))) for c in head), F.lit(0)) <= FIRST)
+    for c in on:
+        match = match & (F.col(f"t.{c}") == F.col(f"p.{c}"))
+    met = p.join(t.hint("shuffle_hash"), match).select(F.least("t.rep", "p.rep").alias("a"), F.greatest("t.rep", "p.rep").alias("b")).distinct()
+    of = lambda c: prints.select(F.col("rep").alias(c), F.col("print").alias(f"f{c}"))
+    both = met.join(of("a"), "a").join(of("b"), "b")
+    distance = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return both.where(distance <= int(DIFFER * segments * bits)).select("a", "b")
+
+
+def numbered_words(hashes: Column) -> Column:
+    """The sorted hashes, those that repeat with how often they came before, so that shared values are shared words, repeats included."""
+    place = lambda x, i: F.when((i > 0) & (F.element_at(hashes, F.greatest(i, F.lit(1)).cast("int")) == x), F.xxhash64(x, i - F.array_position(hashes, x) + 1)).otherwise(x)
+    return F.transform(hashes, place)
 
 
 class Versions:
@@ -193,9 +206,10 @@ class Versions:
 
     def links(self) -> DataFrame:
         """(a, b, shared), a < b: representatives of classes whose share of words is large enough."""
-        projected = cut(projections(self.classes), "projections")
-        found = hamming_pairs(cut(fingerprints(projected), "prints"), self.share)
-        words = lambda c: projected.select(F.col("rep").alias(c), F.col("nth").alias(f"w{c}"))
+        segments, bits = layout(self.classes.count())
+        projected = cut(projections(self.classes, segments * bits), "projections")
+        found = cut(hamming_pairs(cut(fingerprints(projected, segments, bits), "prints"), segments, bits, self.share), "near")
+        words = lambda c: self.classes.select(F.col("rep").alias(c), numbered_words(F.col("words")).alias(f"w{c}"))
         both = found.join(words("a"), "a").join(words("b"), "b")
         shared = both.select("a", "b", (F.size(F.array_intersect("wa", "wb")) / F.greatest(F.size("wa"), F.size("wb"))).alias("shared"))
         return shared.where(F.col("shared") >= self.share)

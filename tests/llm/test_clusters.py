@@ -2,9 +2,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spindrel.llm.graph import components
-from spindrel.llm.spectral import Clusters, affinities, embed, k_means
+from spindrel.llm.spectral import VECTORS, Clusters, affinities, cauchy, embed, k_means
 
 from .test_neighbours import clustered, frame, isolated_pairs, random_directions
 
@@ -96,3 +97,31 @@ def test_isolated_links_are_found_among_thousands_of_directions(spark, monkeypat
     ids, x, pairs = isolated_pairs(1500, 3000)
     edges = {(r["a"], r["b"]) for r in affinities(frame(spark, ids, x), block=2048).collect()}
     assert edges == pairs and union_find(edges, map(int, ids)) == exact(ids, x)
+
+
+def partition(rows):
+    """The groups of (id, name)."""
+    groups = {}
+    for i, name in rows:
+        groups.setdefault(name, set()).add(i)
+    return {frozenset(g) for g in groups.values()}
+
+
+def test_the_walk_makes_the_clusters(spark):
+    """What k-means finds in the settled coordinates are the clusters already; without iterations they fall apart."""
+    ids, x = clustered(600, seed=21)
+    clusters = Clusters(frame(spark, ids, x))
+    want = {g for g in partition(exact(ids, x).items()) if len(g) > 1}
+    got = partition((r["id"], r["name"]) for r in clusters.spectral().collect())
+    assert len(want & got) >= 0.95 * len(want) and all(any(g <= w for w in want) for g in got)
+    none = partition((r["id"], r["name"]) for r in clusters.spectral(iterations=0).collect())
+    assert len(want & none) <= 0.05 * len(want)
+
+
+def test_large_components_stay_apart(spark):
+    """Means of Cauchy values don't draw together, however many there are, as those of uniform ones do."""
+    n = 400_000
+    rows = spark.range(2 * n).select((F.col("id") % 2).alias("part"), *(cauchy("id", j).alias(f"c{j}") for j in range(VECTORS)), F.rand(3).alias("uniform"))
+    a, b = rows.groupBy("part").agg(*(F.avg(f"c{j}").alias(f"c{j}") for j in range(VECTORS)), F.avg("uniform").alias("uniform")).orderBy("part").collect()
+    apart = [abs(np.arcsinh(a[f"c{j}"]) - np.arcsinh(b[f"c{j}"])) for j in range(VECTORS)]
+    assert max(apart) > 0.1 and abs(a["uniform"] - b["uniform"]) < 0.005
