@@ -1,28 +1,40 @@
 """Filling containers of fixed capacity with whole texts, lexical neighbours first.
 
-Items are spread over shards of bounded size. A shard's task builds a BM25 inverted
-index of its items, with the term statistics of the whole collection; each container
-is opened by the largest unused item, filled with its best unused neighbours, and
-closed with the items that leave least space. Containers that stay too empty are
+Items are routed to shards of bounded size by their most telling terms: all items are
+sorted by these, and a shard is a run of them, so that lexical neighbours lie together
+and a term of a third of all items fills as many shards as it needs. A shard's task
+builds a BM25 inverted index of its items, with the term statistics of the whole
+collection; each container is opened by the largest unused item, filled with its best
+unused neighbours, and its last gap closed with the items that leave least space. Containers that stay too empty are
 taken apart, and their items packed again in the shards of the next round.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.lineage import cut
+from ..plans.ranks import ranked
 from .tokens import count_tokens, vocabulary_size
 
 #: Usual constants of BM25.
 K1, B = 1.2, 0.75
 
+#: The last gap of a container, in median sizes of what fits: it is closed by size, all before by the order of BM25.
+LAST = 1.0
+
+#: Terms that an item is routed by, and items at least that must have such a term.
+ROUTES, SHARED = 3, 8
+
 
 def document_frequencies(items: DataFrame, ids: str, size: int) -> np.ndarray:
     """In how many items each token id occurs, over all items. At most ``size`` rows (ids of the vocabulary) come to the driver."""
@@ -33,6 +45,28 @@ def document_frequencies(items: DataFrame, ids: str, size: int) -> np.ndarray:
     return table
 
 
+def _routes(items: DataFrame, idf, frequency: np.ndarray) -> DataFrame:
+    """(item, piece, terms): of each item the ROUTES terms with the largest tf x idf among those that SHARED items have; -1 where there are fewer."""
+    shared = items.sparkSession.sparkContext.broadcast(frequency >= SHARED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.full((batch.num_rows, ROUTES), -1, np.int64)
+            n = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)
+            flat = batch.column(2).flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(n)), n)[shared.value[flat]]
+            pair, tf = np.unique(row << 32 | flat[shared.value[flat]].astype(np.int64), return_counts=True)
+            row, term = pair >> 32, pair & 0xFFFFFFFF
+            best = np.lexsort((term, -tf * idf.value[term], row))
+            row, term = row[best], term[best]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            found[row[place < ROUTES], place[place < ROUTES]] = term[place < ROUTES]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, ROUTES), pa.int32()), pa.array(found.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["item", "piece", "terms"])
+
+    return items.select("item", "piece", "ids").mapInArrow(run, "item long, piece int, terms array<long>")
+
+
 class Shard:
     """The inverted index of some items, of which a used one is passed over."""
 
@@ -72,7 +106,7 @@ class Shard:
                 candidates = candidates[np.lexsort((candidates, -scores[candidates]))]
                 typical = float(np.median(self.sizes[candidates]))
                 for item in candidates:
-                    if gap <= 2.5 * typical:
+                    if gap <= LAST * typical:
                         break
                     if self.sizes[item] <= gap:
                         inside.append(int(item))
@@ -107,9 +141,9 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int =
     ``tokens`` is the size of the row's piece, ``unused`` the space left in its container. A text longer than the
     capacity is cut into pieces that fill containers of their own, and a rest that is packed like a text. Null and
     empty texts have no tokens and are not placed. Repeated keys are items of their own (their containers may differ),
-    ties go to the smaller key; an empty table gives no rows. Shards are drawn by a hash of the item, so they are of
-    like size whatever the texts are, and no group of like texts can make a large one. In each round but the last,
-    containers filled less than ``full`` are taken apart.
+    ties go to the smaller key; an empty table gives no rows. Shards are runs of ``shard_items`` items in the order of
+    their most telling terms, so no group of like texts can make a large one. In each round but the last,
+    containers filled less than ``full`` are taken apart; the next round sorts by another of the terms.
     """
     spark = df.sparkSession
     kind = df.schema[key].dataType
@@ -155,12 +189,19 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int =
 
         return run, out
 
+    routes = cut(_routes(rest, shared, frequency), "routes")
     done, open_items, left = [whole] if long else [], rest, n
     for level in range(rounds):
         shards = max(1, math.ceil(left / shard_items))
         last = level == rounds - 1 or shards == 1
         run, out = packer(last, level)
-        placed = open_items.withColumn("shard", F.pmod(F.xxhash64("item", F.lit(level)), F.lit(shards))).groupBy("shard").applyInPandas(run, out)
+        if shards == 1:
+            shard = open_items.withColumn("shard", F.lit(0).cast("long"))
+        else:
+            order = [F.col("terms")[(level + j) % ROUTES] for j in range(ROUTES)]
+            places = ranked(routes.join(open_items.select("item", "piece"), ["item", "piece"], "left_semi"), [*order, "item", "piece"], into="place")
+            shard = open_items.join(places.select("item", "piece", F.floor(F.col("place") / shard_items).alias("shard")), ["item", "piece"])
+        placed = shard.groupBy("shard").applyInPandas(run, out)
         if not last:
             placed = cut(placed, "packed")
         done.append(placed.where("container >= 0").select("key", "piece", "tokens", "container", "unused"))

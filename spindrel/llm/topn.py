@@ -14,10 +14,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+_NULLABLE = {pa.int64(): pd.Int64Dtype(), pa.int32(): pd.Int32Dtype()}
+
 #: Entries that are gathered before they are merged into the heaps, and heap entries that are held before a task passes them on.
 GATHER, HOLD = 1 << 19, 1 << 21
 
@@ -47,7 +49,7 @@ def _entries(batch: pa.RecordBatch, skip: tuple) -> pd.DataFrame:
     g = batch.column(0).take(pa.array(row, pa.int64()))
     kept = pa.table({"g": g, "i": i, "s": s}).filter(ok)
     # nullable integers stay whole numbers in pandas
-    return kept.to_pandas(types_mapper={pa.int64(): pd.Int64Dtype(), pa.int32(): pd.Int32Dtype()}.get)
+    return kept.to_pandas(types_mapper=_NULLABLE.get)
 
 
 def top_n(df: DataFrame, group: str | Column, items: str | Column, scores: str | Column, n: int = 10, skip: tuple = (), names: tuple[str, str, str] = ("group", "item", "score")) -> DataFrame:
@@ -90,7 +92,23 @@ def top_n(df: DataFrame, group: str | Column, items: str | Column, scores: str |
         if rest:
             yield from passed(bounded(pd.concat(rest, ignore_index=True), n))
 
-    merged = narrow.mapInArrow(heaps, out).repartition("g")
-    best = merged.groupBy("g", "i").agg(F.max("s").alias("s"))
-    ranked = best.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("s"), F.asc("i"))))
-    return ranked.where(F.col("r") <= n).select(F.col("g").alias(names[0]), F.col("i").alias(names[1]), F.col("s").alias(names[2]))
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # heaps of a group follow each other: only the last group of a batch can go on in the next one
+        open_: pd.DataFrame | None = None
+        schema = None
+        for batch in batches:
+            schema = batch.schema
+            frame = pa.Table.from_batches([batch]).to_pandas(types_mapper=_NULLABLE.get)
+            frame = bounded(frame if open_ is None else pd.concat([open_, frame], ignore_index=True), n).sort_values("g", kind="stable", na_position="first")
+            if not len(frame):
+                continue
+            last = batch.column(0)[-1].as_py()
+            goes_on = frame["g"].isna() if last is None else (frame["g"] == last).fillna(False)
+            open_, whole = frame[goes_on], frame[~goes_on]
+            yield from pa.Table.from_pandas(whole, schema=schema, preserve_index=False).to_batches(max_chunksize=1 << 16)
+        if open_ is not None:
+            yield from pa.Table.from_pandas(open_, schema=schema, preserve_index=False).to_batches(max_chunksize=1 << 16)
+
+    # one shuffle of heaps; a group's are merged as they come, N entries at a time, however many tasks sent one
+    gathered = narrow.mapInArrow(heaps, out).repartition("g").sortWithinPartitions("g")
+    return gathered.mapInArrow(merged, out).select(F.col("g").alias(names[0]), F.col("i").alias(names[1]), F.col("s").alias(names[2]))

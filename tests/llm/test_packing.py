@@ -1,5 +1,8 @@
+import random
 from collections import defaultdict
 
+import pytest
+
 from spindrel.llm.packing import pack
 from spindrel.llm.tokens import count_tokens
 
@@ -45,3 +48,18 @@ def test_repeated_keys_and_exact_multiples(spark):
     df = spark.createDataFrame([(1, " a" * 16), (1, " a" * 16), (2, " a" * 32)], "doc_id long, text string")
     rows, containers = check(df, 16)
     assert containers == 4 and all(r["unused"] == 0 for r in rows)
+
+
+@pytest.mark.parametrize("n", [400, 2400])
+def test_containers_hold_lexical_neighbours(spark, n):
+    """Items of a container share a topic far more often than items drawn at random, in one shard and in many, and containers are full."""
+    r = random.Random(n)
+    topics = [[f"{a}{b}" for b in ("ora", "ine", "ust", "elm", "ark", "ift")] for a in ("br", "cl", "dr", "fl", "gr", "pl", "sk", "tr", "sp", "st", "sw", "th")]
+    texts = [" ".join(r.choice(topics[i % 12]) for _ in range(r.randint(10, 60))) for i in range(n)]
+    rows = pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), capacity=512, shard_items=300).collect()
+    inside = {}
+    for x in rows:
+        inside.setdefault(x["container"], []).append(x)
+    alike = [a["doc_id"] % 12 == b["doc_id"] % 12 for g in inside.values() for a in g for b in g if a["doc_id"] < b["doc_id"]]
+    assert sum(alike) / len(alike) > 4 / 12
+    assert sum(x["tokens"] for x in rows) / (512 * len(inside)) > 0.97 and len({x["doc_id"] for x in rows}) == n
