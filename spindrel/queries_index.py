@@ -251,7 +251,7 @@ def uniform_embeddings_roundtrip(spark, folder):
 
 
 @query("""WITH v AS (SELECT vec_id, unnest(range(64)) AS d, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT d, min(x) AS low, max(x) AS high FROM v GROUP BY d)
-SELECT vec_id // 5 AS doc_id, 320 AS n, round(sum(floor((x - low) / (high - low) * 15) / 15 * (high::FLOAT::DOUBLE - low::FLOAT::DOUBLE) + low::FLOAT::DOUBLE), 4) AS total FROM v JOIN m USING (d) GROUP BY 1""")
+SELECT vec_id // 5 AS doc_id, 320 AS n, round(sum(floor((x - low) / (high - low) * 15) / 15 * (high::FLOAT::DOUBLE - low::FLOAT::DOUBLE) + low::FLOAT::DOUBLE), 2) AS total FROM v JOIN m USING (d) GROUP BY 1""")
 def minmax_index_roundtrip(spark, folder):
     docs = _docs(spark, folder)
     ends = _tokens(spark, folder).select(F.posexplode("vec").alias("d", "x")).groupBy("d").agg(F.min("x").alias("low"), F.max("x").alias("high"))
@@ -260,7 +260,7 @@ def minmax_index_roundtrip(spark, folder):
     binary.write_blobs(files, place)
     ids = files.select(F.col("path").alias("name"), F.posexplode("ids").alias("at", "id"))
     rows = binary.read_minmax_documents(spark, place).withColumn("name", F.substring_index("path", "/", -1)).withColumnRenamed("doc_id", "at").join(ids, ["name", "at"])
-    return rows.select(F.col("id").alias("doc_id"), F.size("flat").alias("n"), F.round(vectors.total(F.col("flat")), 4).alias("total"))
+    return rows.select(F.col("id").alias("doc_id"), F.size("flat").alias("n"), F.round(vectors.total(F.col("flat")), 2).alias("total"))
 
 
 def _papers(spark, folder):
