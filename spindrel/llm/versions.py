@@ -1,20 +1,18 @@
 """Near-duplicate records by multi-index hashing of word fingerprints.
 
-A fingerprint has a bit per random projection of the record's word counts: whether it
-lies above the mean of all records (so that words which all records share don't
-count). It is cut into segments, each with a table of its own. A record looks up the
-small Hamming ball round each of its segments; what it meets is verified by the complete
-Hamming distance of the fingerprints, then by the words themselves. Segments are as
-wide as the number of records asks for, so that a key is shared by few unrelated ones
-at every size, and there are the more of them, the wider they are, so that like records
-still meet. Records of equal words are one class, whose least id stands for it.
+A fingerprint is a code of symbols: symbol by symbol the word that comes first in a random
+order of all words, of which common ones come early less often. Two records agree in a symbol with the probability of
+the (weighted) share of words that they have in common. The code is cut into segments, each with a table of its own;
+records that agree in a whole segment meet there and are verified by the complete Hamming distance of a bit per symbol,
+then by the words themselves. Segments have as many symbols as the number of records asks for, and there are the more of
+them, the longer they are, so that like records still meet. Tables take a few numbers a record; words are read
+again for the records of pairs that are near, and never kept. Records of equal words are one class, whose least id stands for it.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -27,22 +25,25 @@ from ..plans.lineage import cut
 from ..plans.spread import spread
 from .graph import components
 
-#: Least bits of a segment, and segments of so many bits; the bits of each nearest to the mean, whose pairs are flipped too.
-BITS, SEGMENTS, WEAK = 17, 20, 5
+#: Share of symbols in which records agree that share 75 % of their words, probability that such a pair meets in no table, and symbols of a segment at least.
+AGREE, MISS, LEAST = 0.6, 0.005, 3
 
-#: Segments more for a bit more, as a factor: what a record shares with its version in a segment becomes rarer with its width.
-MORE = 1.22
+#: Unrelated records that a record meets in a table at most, when of n records n x 10 ** -(symbols + 0.5) agree in a segment (measured at 3 to 5 symbols).
+STRANGERS = 300
 
-#: Share of the fingerprint's bits in which records may differ that share 75 % of their words, with room for chance.
-DIFFER = 0.34
+#: Words beyond this share of all records count less in the fingerprint, by the root of how much they are beyond it.
+COMMON = 0.01
 
-#: The same for the fingerprint's first 128 bits, which go with the table entries so that fewer pairs leave a table.
-FIRST = 50
+#: Bits of the complete distance, and in how many of them records may differ that share 75 % of their words: 0.2 of them on average, with room for chance.
+BITS, DIFFER = 160, 52
 
-#: Records that the mean is weighed against.
-FEW = 64
+#: Cells (words x symbols) whose values are held at a time.
+CELLS = 1 << 23
 
-#: Rows of a table key at most that meet the lookups of the key in one place; keys with more are split.
+#: Keys whose rows are counted at a time.
+COUNTED = 1 << 22
+
+#: Rows of a table key at most that meet in one place; keys with more are split.
 HOT = 2_000
 
 
@@ -51,132 +52,140 @@ def words(*texts: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.concat_ws(" ", *texts)), F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def _signs(hashes: np.ndarray, n: int) -> np.ndarray:
-    """n random signs for each hash, the same in every task."""
-    lanes = []
-    with np.errstate(over="ignore"):
-        for lane in range(math.ceil(n / 64)):
-            z = hashes.astype(np.uint64) + np.uint64((lane + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
-            for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-                z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
-            lanes.append(z ^ (z >> np.uint64(31)))
-    bits = np.unpackbits(np.stack(lanes, 1).view(np.uint8), axis=1)[:, :n]
-    return bits.astype(np.int8) * 2 - 1
-
-
-def _projected(lists: pa.ListArray, lengths: np.ndarray, n: int) -> np.ndarray:
-    """The sums of the random signs of each list's word hashes."""
-    unique, at = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
-    return np.add.reduceat(_signs(unique.view(np.uint64), n)[at], np.cumsum(lengths) - lengths, axis=0, dtype=np.int32)
-
-
-def _unit(sums: np.ndarray) -> np.ndarray:
-    x = sums.astype(np.float64)
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-
-
-def _lists(values: np.ndarray, kind: pa.DataType) -> pa.ListArray:
-    """The rows of a matrix as lists."""
-    return pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, values.shape[1]), pa.int32()), pa.array(values.ravel(), kind), type=pa.list_(pa.field("element", kind, False)))
-
-
 def layout(n: int) -> tuple[int, int]:
-    """(segments, bits) for ``n`` classes: keys have about 2 n values, so that a table key is shared by few unrelated classes, whatever their number."""
-    bits = max(BITS, math.ceil(math.log2(max(2, n))) + 1)
-    return math.ceil(SEGMENTS * MORE ** (bits - BITS)), bits
-
-
-_LONGS = T.ArrayType(T.LongType(), False)
+    """(segments, symbols of a segment) for ``n`` classes: a table key is shared by few unrelated classes, whatever their number, and like ones meet but for MISS."""
+    symbols = max(LEAST, math.ceil(math.log10(max(1, n) / STRANGERS) - 0.5))
+    return math.ceil(math.log(MISS) / math.log1p(-(AGREE**symbols))), symbols
 
 
-def projections(classes: DataFrame, bits: int) -> DataFrame:
-    """(rep, n, sums) of (rep, words), words being sorted hashes: the number of words and their sums of random signs."""
-    out = T.StructType([T.StructField("rep", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("sums", T.ArrayType(T.ShortType(), False))])
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """64 random bits for each number, the same in every task."""
+    with np.errstate(over="ignore"):
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+def _symbols(flat: np.ndarray, lengths: np.ndarray, common: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+    """(rows x n) symbols of the lists of sorted word hashes; a word that repeats is another one each time."""
+    begins = np.cumsum(lengths) - lengths
+    at = np.arange(len(flat))
+    new = np.append(True, flat[1:] != flat[:-1])
+    new[begins] = True
+    before = (at - np.maximum.accumulate(np.where(new, at, 0))).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        element = flat.view(np.uint64) + before * np.uint64(0xD6E8FEB86659FD93)
+    element, first, place = np.unique(element, return_index=True, return_inverse=True)
+    rate = np.ones(len(element), np.float32)
+    if len(common):
+        k = np.minimum(np.searchsorted(common, flat[first]), len(common) - 1)
+        known = common[k] == flat[first]
+        rate[known] = weights[k[known]]
+    out = np.empty((len(lengths), n), np.uint32)
+    step = max(1, CELLS // len(flat))
+    for lane in range(0, n, step):
+        lanes = np.arange(lane, min(lane + step, n), dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            u = _mixed(element[:, None] + (lanes + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+        # exponential times: the first of several words is each in proportion to its rate
+        times = -np.log(((u >> np.uint64(40)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-24)) / rate[:, None]
+        times = (times.view(np.uint32) & np.uint32(0xFFFFFF00)) | (u & np.uint64(0xFF)).astype(np.uint32)  # order by time, the last bits tell words apart
+        out[:, lane : lane + len(lanes)] = np.minimum.reduceat(times[place], begins, axis=0)
+    return out
+
+
+def fingerprints(rows: DataFrame, common: np.ndarray, weights: np.ndarray, segments: int, symbols: int) -> DataFrame:
+    """The columns of ``rows`` (words, sorted hashes, last) without the words, and (keys, f0, f1, f2): a key of every segment, and a bit per symbol.
+
+    A row without words has keys of 0; its number of words says so.
+    """
+    kept = rows.columns[:-1]
+    out = T.StructType([*rows.select(kept).schema.fields, T.StructField("keys", T.ArrayType(T.IntegerType(), False)), T.StructField("f0", T.LongType()), T.StructField("f1", T.LongType()), T.StructField("f2", T.IntegerType())])
+    lanes = max(BITS, segments * symbols)
+
+    def parts(lengths: np.ndarray) -> Iterator[slice]:
+        """Runs of rows of about so many words as are held at a time."""
+        ends, start = np.cumsum(lengths), 0
+        while start < len(lengths):
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + CELLS // lanes, "right")))
+            yield slice(start, stop)
+            start = stop
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                n_words = pc.list_value_length(part.column(1))
-                sums = _projected(part.column(1), n_words.to_numpy(zero_copy_only=False), bits)
-                # the direction alone counts: long records' sums are scaled to fit
-                scale = np.maximum(np.abs(sums).max(1, keepdims=True) / 32_000, 1)
-                yield pa.RecordBatch.from_arrays([part.column(0), n_words, _lists(np.rint(sums / scale).astype(np.int16), pa.int16())], names=out.names)
-
-    return classes.select("rep", "words").mapInArrow(run, out)
-
-
-def fingerprints(projected: DataFrame, segments: int, bits: int) -> DataFrame:
-    """(rep, n, print, keys, weak) of ``projections``: print has the bits above the mean of all records, as longs, keys its
-    segments, each with its number in front, weak the masks of the bits nearest to the mean, segment by segment."""
-    width = segments * bits
+            if not batch.num_rows:
+                continue
+            lists = batch.column(len(kept))
+            lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            begins = np.cumsum(lengths) - lengths
+            keys, bits = np.zeros((len(lengths), segments), np.int32), np.zeros((len(lengths), BITS), bool)
+            for part in parts(lengths):
+                some = np.flatnonzero(lengths[part]) + part.start
+                if not len(some):
+                    continue
+                found = _symbols(flat[begins[some[0]] : begins[some[-1]] + lengths[some[-1]]], lengths[some], common, weights, lanes)
+                key = np.repeat(np.arange(segments, dtype=np.uint64)[None, :], len(some), 0)
+                for j in range(symbols):
+                    with np.errstate(over="ignore"):
+                        key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + found[:, j : segments * symbols : symbols])
+                keys[some] = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+                bits[some] = (_mixed(found[:, :BITS].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(1)).astype(bool)
+            packed = np.packbits(bits, axis=1)
+            longs, last = np.ascontiguousarray(packed[:, :16]).view(np.int64), np.ascontiguousarray(packed[:, 16:20]).view(np.int32)
+            listed = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, segments), pa.int32()), pa.array(keys.ravel()), type=pa.list_(pa.field("element", pa.int32(), False)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], listed, pa.array(longs[:, 0]), pa.array(longs[:, 1]), pa.array(last[:, 0])], names=out.names)
+
+    return rows.mapInArrow(run, out)
+
+
+def hot_keys(prints: DataFrame, hot: int) -> DataFrame:
+    """(key, parts) of keys that more than ``hot`` rows share. Counts begin where the rows are read: only keys that a task sees often are shuffled."""
+    often = max(2, hot // (4 * max(1, prints.rdd.getNumPartitions())))
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                key, n = np.unique(np.concatenate(held), return_counts=True)
+                held.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(key[n >= often]), pa.array(n[n >= often].astype(np.int64))], names=["key", "n"])
 
-    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, count = np.zeros(width), 0
         for batch in batches:
-            if batch.num_rows:
-                sums += _unit(batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width)).sum(0)
-                count += batch.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width + 1), pa.int32()), pa.array([*sums, float(count)])], names=["bit", "s"])
-
-    summed = projected.select("sums").mapInArrow(totals, "bit int, s double").groupBy("bit").agg(F.sum("s").alias("s")).collect()  # a row per bit
-    at = {r["bit"]: r["s"] for r in summed}
-    # few records say little of the mean: it then counts for less
-    mean = np.array([at.get(b, 0.0) for b in range(width)]) / (at.get(width, 0.0) + FEW)
-    out = T.StructType([T.StructField("rep", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("print", _LONGS), T.StructField("keys", _LONGS), T.StructField("weak", _LONGS)])
-    padded = -(-width // 64) * 64
-
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        power = np.int64(1) << np.arange(bits, dtype=np.int64)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 2048):
-                part = batch.slice(start, 2048)
-                side = (_unit(part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, width)) - mean).reshape(part.num_rows, segments, bits)
-                keys = ((side > 0) * power).sum(2) + (np.arange(segments, dtype=np.int64) << bits)
-                nearest = np.argpartition(np.abs(side), WEAK, axis=2)[:, :, :WEAK]
-                whole = np.packbits(np.pad((side > 0).reshape(part.num_rows, width), ((0, 0), (0, padded - width))), axis=1).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*part.columns[:2], _lists(whole, pa.int64()), _lists(keys, pa.int64()), _lists(power[nearest].reshape(part.num_rows, -1), pa.int64())], names=out.names)
+            held.append(batch.column(0).flatten().to_numpy(zero_copy_only=False))
+            if sum(map(len, held)) > COUNTED:
+                yield from flush()
+        yield from flush()
 
-    return projected.select("rep", "n", "sums").mapInArrow(prints, out)
+    counted = prints.select("keys").mapInArrow(counts, "key int, n long").groupBy("key").agg(F.sum("n").alias("c"))
+    return counted.where(F.col("c") > hot).select("key", F.ceil(F.col("c") / hot).cast("int").alias("parts"))
 
 
-def hamming_pairs(prints: DataFrame, segments: int, bits: int, share: float = 0.75) -> DataFrame:
-    """(a, b), a < b: classes that meet in a table, whose lengths allow them to share so many words, and whose fingerprints are near enough.
+def hamming_pairs(prints: DataFrame, share: float = 0.75) -> DataFrame:
+    """(a, b), a < b: classes of (rep, n, keys, f0, f1, f2) that meet in a table, whose lengths allow them to share so many words, and whose fingerprints are near enough.
 
-    Keys, numbers of classes and the first bits of the fingerprints are shuffled for the tables; the pairs that are near by these are then joined with the whole ones.
+    The tables' rows are shuffled once, for both sides.
     """
-    head = ("f0", "f1")
-    parts = prints.select("rep", "n", "weak", *(F.col("print")[j].alias(c) for j, c in enumerate(head)), F.posexplode("keys").alias("s", "segment"))
-    table = parts.select("rep", "n", *head, F.col("segment").alias("key"))
-    # the ball round a segment: itself, every bit that isn't set flipped (of two segments that differ in one bit, one
-    # hasn't set it and finds the other), and every two of its bits nearest to the mean
-    near_mean = F.slice("weak", F.col("s") * WEAK + 1, F.lit(WEAK))
-    pairs = [F.col("m")[x].bitwiseXOR(F.col("m")[y]) for x, y in combinations(range(WEAK), 2)]
-    single = F.filter(F.array(*(F.lit(f).cast("long") for f in [0, *(1 << b for b in range(bits))])), lambda f: F.col("segment").bitwiseAND(f) == 0)
-    flips = F.concat(single, F.array(*pairs))
-    lookups = parts.withColumn("m", near_mean).select("rep", "n", *head, F.explode(F.transform(flips, lambda f: F.col("segment").bitwiseXOR(f))).alias("key"))
-    # a key that very many classes share is split on both sides: every part of its lookups meets every part of its table
-    hot = cut(table.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT).select("key", F.ceil(F.col("c") / HOT).cast("int").alias("parts")), "hot")
-    if hot.isEmpty():
-        on = ["key"]
-    else:
-        on = ["key", "tp", "lp"]
-        parts_ = F.coalesce("parts", F.lit(1))
-        own = lambda df, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), parts_).cast("int")
-        every = F.explode(F.sequence(F.lit(0), parts_ - 1))
-        table = table.join(hot, "key", "left").withColumn("tp", own(table, 1)).withColumn("lp", every).drop("parts")
-        lookups = lookups.join(hot, "key", "left").withColumn("lp", own(lookups, 2)).withColumn("tp", every).drop("parts")
-    t, p = table.alias("t"), lookups.alias("p")
-    needed = F.lit(share) * F.greatest("t.n", "p.n")
-    fits = (F.col("t.rep") != F.col("p.rep")) & (F.least("t.n", "p.n") >= needed)
-    match = fits & (sum((F.bit_count(F.col(f"t.{c}").bitwiseXOR(F.col(f"p.{c}"))) for c in head), F.lit(0)) <= FIRST)
+    bits = ("f0", "f1", "f2")
+    hot = cut(hot_keys(prints, HOT), "hot")
+    table = prints.select("rep", "n", *bits, F.posexplode("keys").alias("s", "key"))
+    on = ["key", "s"]
+    if not hot.isEmpty():
+        # the rows of a key that very many classes share are dealt out; every two parts meet in a place of their own
+        on += ["p1", "p2"]
+        parts = F.coalesce("parts", F.lit(1))
+        table = table.join(F.broadcast(hot), "key", "left").withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+        table = table.select("rep", "n", *bits, "s", "key", "part", F.least("part", "other").alias("p1"), F.greatest("part", "other").alias("p2"))
+    x, y = table.alias("x"), table.alias("y")
+    match = (F.col("x.rep") < F.col("y.rep")) & (F.least("x.n", "y.n") >= F.lit(share) * F.greatest("x.n", "y.n"))
+    # bit_count widens integers with their sign
+    match = match & (sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}")).bitwiseAND(F.lit(-1 if c != "f2" else 0xFFFFFFFF).cast("long"))) for c in bits), F.lit(0)) <= DIFFER)
     for c in on:
-        match = match & (F.col(f"t.{c}") == F.col(f"p.{c}"))
-    met = p.join(t.hint("shuffle_hash"), match).select(F.least("t.rep", "p.rep").alias("a"), F.greatest("t.rep", "p.rep").alias("b")).distinct()
-    of = lambda c: prints.select(F.col("rep").alias(c), F.col("print").alias(f"f{c}"))
-    both = met.join(of("a"), "a").join(of("b"), "b")
-    distance = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return both.where(distance <= int(DIFFER * segments * bits)).select("a", "b")
+        match = match & (F.col(f"x.{c}") == F.col(f"y.{c}"))
+    if len(on) > 2:
+        match = match & ((F.col("x.part") != F.col("y.part")) | (F.col("x.p1") == F.col("x.p2")))
+    return x.join(y.hint("shuffle_hash"), match).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
 
 
 def numbered_words(hashes: Column) -> Column:
@@ -185,6 +194,16 @@ def numbered_words(hashes: Column) -> Column:
     return F.transform(hashes, place)
 
 
+def _usable() -> Column:
+    """Whether a delivery (x, y) can take part."""
+    return (F.length("x") > 0) & (F.length("y") > 0)
+
+
+def _hashes() -> Column:
+    """The sorted hashes of the words of (x, y); none of a delivery that can't take part."""
+    return F.when(_usable(), F.sort_array(F.transform(words(F.col("x"), F.col("y")), lambda w: F.xxhash64(w))))
+
+
 class Versions:
     """Versions of records: classes of equal words, links between classes, groups of linked classes.
 
@@ -196,20 +215,28 @@ class Versions:
     def __init__(self, df: DataFrame, key: str = "id", first: str = "title", second: str = "abstract", at: str = "ingested_at", share: float = 0.75):
         self.share = share
         rows = df.select(F.col(key).cast("long").alias("id"), F.col(at).alias("at"), F.col(first).alias("x"), F.col(second).alias("y")).where("id is not null")
-        # hashes of words instead of texts are shuffled; a delivery that can't take part has none
-        hashes = F.when((F.length("x") > 0) & (F.length("y") > 0), F.array_sort(F.transform(words(F.col("x"), F.col("y")), lambda w: F.xxhash64(w))))
-        latest = spread(rows.select("id", "at", hashes.alias("words"))).groupBy("id").agg(F.max_by("words", F.struct("at", F.xxhash64("words"))).alias("words")).where("size(words) > 0")
-        latest = latest.withColumn("sig", F.struct(F.xxhash64("words").alias("h"), F.hash("words").alias("g"), F.size("words").alias("n")))
+        self.texts = spread(rows)
+        hashed = self.texts.select("id", "at", _hashes().alias("words"))
+        n = rows.where(_usable()).count()
+        seen = hashed.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > COMMON * n).toArrow().sort_by("word")  # at most the words of 1 / COMMON records
+        common, weights = seen.column("word").to_numpy(), np.sqrt(COMMON * n / seen.column("c").to_numpy()).astype(np.float32)
+        told = hashed.select("id", "at", F.xxhash64("words").alias("h"), F.hash("words").alias("g"), F.coalesce(F.size("words"), F.lit(-1)).alias("n"), "words")
+        printed = fingerprints(told, common, weights, *layout(n))
+        latest = printed.groupBy("id").agg(F.max_by(F.struct("at", "h", "g", "n", "keys", "f0", "f1", "f2"), F.struct("at", "h")).alias("r")).select("id", "r.*").where("n > 0")
         self.records = cut(latest, "records")
-        self.classes = cut(self.records.groupBy("sig").agg(F.min("id").alias("rep"), F.first("words").alias("words"), F.count(F.lit(1)).alias("copies")), "classes")
-        self.members = self.records.select("id", "sig").join(self.classes.select("sig", "rep", "copies"), "sig").select("id", "rep", "copies")
+        classes = self.records.groupBy("h", "g", "n").agg(F.min_by(F.struct("id", "at", "keys", "f0", "f1", "f2"), "id").alias("r"), F.count(F.lit(1)).alias("copies"))
+        self.classes = cut(classes.select("h", "g", "n", "copies", F.col("r.id").alias("rep"), "r.at", "r.keys", "r.f0", "r.f1", "r.f2"), "classes")
+        self.members = self.records.select("id", "h", "g", "n").join(self.classes.select("h", "g", "n", "rep", "copies"), ["h", "g", "n"]).select("id", "rep", "copies")
 
     def links(self) -> DataFrame:
         """(a, b, shared), a < b: representatives of classes whose share of words is large enough."""
-        segments, bits = layout(self.classes.count())
-        projected = cut(projections(self.classes, segments * bits), "projections")
-        found = cut(hamming_pairs(cut(fingerprints(projected, segments, bits), "prints"), segments, bits, self.share), "near")
-        words = lambda c: self.classes.select(F.col("rep").alias(c), numbered_words(F.col("words")).alias(f"w{c}"))
+        found = cut(hamming_pairs(self.classes.select("rep", "n", "keys", "f0", "f1", "f2"), self.share), "near")
+        # the words of the records in question are read again, by the delivery that counts
+        asked = found.select(F.col("a").alias("rep")).union(found.select(F.col("b").alias("rep"))).distinct().join(self.classes.select("rep", "at", "h"), "rep")
+        asked = asked.select(F.col("rep").alias("id"), F.col("at").alias("t"), F.col("h"))
+        again = self.texts.join(asked, "id").where(F.col("at").eqNullSafe(F.col("t"))).select("id", "h", _hashes().alias("words")).where(F.xxhash64("words") == F.col("h"))
+        held = cut(again.groupBy("id").agg(F.first("words").alias("words")), "words")
+        words = lambda c: held.select(F.col("id").alias(c), numbered_words(F.col("words")).alias(f"w{c}"))
         both = found.join(words("a"), "a").join(words("b"), "b")
         shared = both.select("a", "b", (F.size(F.array_intersect("wa", "wb")) / F.greatest(F.size("wa"), F.size("wb"))).alias("shared"))
         return shared.where(F.col("shared") >= self.share)

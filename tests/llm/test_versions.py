@@ -79,3 +79,23 @@ def test_empty(spark):
 def test_shared_words_count_repeats(spark):
     rows = [(1, "a", "b b b b c"), (2, "a", "b b b b d"), (3, "a", "b c d e f")]
     assert found(Versions(frame(spark, rows), share=0.8)) == {(1, 2)}
+
+
+def test_tables_have_few_rows_a_record_at_every_size():
+    for n in (0, 1, 50_000, 8_000_000, 40_000_000):
+        segments, symbols = versions.layout(n)
+        assert segments <= 80 and (1 - versions.AGREE**symbols) ** segments <= versions.MISS
+    assert versions.layout(8_000_000)[0] <= 40  # disk of 4 times the input at 6 GB
+
+
+def test_pairs_near_the_least_share_are_found(spark):
+    r = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(20_000)]
+    rows = []
+    for i in range(600):
+        words = r.sample(vocabulary, 100)
+        edited = [w if k % 4 else r.choice(vocabulary) + "x" for k, w in enumerate(words)]
+        rows += [(2 * i, "t", " ".join(words)), (2 * i + 1, "t", " ".join(edited))]
+    want = {(2 * i, 2 * i + 1) for i in range(600)}
+    got = found(Versions(frame(spark, rows)))
+    assert got <= want and len(got) >= 0.985 * len(want)
